@@ -1,8 +1,8 @@
 """Queries of the training-data operators, with the SQL that gives the same rows."""
 
-from folium.llm import packing, token_counts
+from folium.llm import packing, sharding, token_counts, warc
 
-MODULES = (token_counts, packing)
+MODULES = (token_counts, sharding, packing, warc)
 
 
 def queries() -> dict:
