@@ -1,8 +1,8 @@
 """Queries of the training-data operators, with the SQL that gives the same rows."""
 
-from folium.llm import packing, sharding, token_counts, warc
+from folium.llm import embeddings, language_id, packing, sharding, token_counts, warc
 
-MODULES = (token_counts, sharding, packing, warc)
+MODULES = (token_counts, embeddings, sharding, language_id, packing, warc)
 
 
 def queries() -> dict:
