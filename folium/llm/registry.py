@@ -1,8 +1,8 @@
 """Queries of the training-data operators, with the SQL that gives the same rows."""
 
-from folium.llm import embeddings, language_id, minhash, packing, sharding, token_counts, warc
+from folium.llm import embeddings, language_id, licenses, minhash, packing, sharding, token_counts, warc
 
-MODULES = (token_counts, embeddings, sharding, language_id, packing, warc, minhash)
+MODULES = (licenses, token_counts, embeddings, sharding, language_id, packing, warc, minhash)
 
 
 def queries() -> dict:
