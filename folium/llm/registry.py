@@ -1,8 +1,8 @@
 """Queries of the training-data operators, with the SQL that gives the same rows."""
 
-from folium.llm import embeddings, language_id, licenses, minhash, packing, sharding, suffixes, token_counts, warc
+from folium.llm import decontamination, embeddings, language_id, licenses, minhash, packing, sharding, suffixes, token_counts, warc
 
-MODULES = (licenses, token_counts, embeddings, suffixes, sharding, language_id, packing, warc, minhash)
+MODULES = (licenses, token_counts, embeddings, suffixes, sharding, language_id, packing, warc, decontamination, minhash)
 
 
 def queries() -> dict:
