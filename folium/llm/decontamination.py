@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm.common import schema, table, text_or_empty
+from folium.llm.common import Scratch, schema, table, text_or_empty
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -223,6 +223,14 @@ def contaminated(
     return out.select(F.col("k").alias(key), F.col("item").alias("item_id"), "edits", "item_words", (1 - F.col("edits") / F.col("item_words")).alias("similarity"), "first_word", "words")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents, as they are, in which no benchmark item stands. Judged by text, so keys may be null or repeat."""
+    marked = docs.withColumn("_folium_h", F.unhex(F.sha2(text_or_empty(text), 256)))
+    hits = contaminated(marked, benchmark, key="_folium_h", text=text, **options)
+    dirty = Scratch(docs.sparkSession, "decontamination").keep(hits.select("_folium_h").distinct(), "dirty")
+    return marked.join(dirty, "_folium_h", "left_anti").select(*docs.columns)
+
+
 def op9_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

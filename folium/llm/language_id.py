@@ -153,6 +153,19 @@ def train(docs: DataFrame, bits: int = 15, max_langs: int = 512, text: str = "te
     return Mixture(langs, prob / prob.sum(1, keepdims=True), bits)
 
 
+def _inferred(docs: DataFrame, model: Mixture, text: str):
+    held = docs.sparkSession.sparkContext.broadcast(model)  # max_langs x 2 ** bits numbers at most
+
+    @F.pandas_udf(schema("langs array<struct<lang string, share double>>, lang_pred string, score double"))
+    def infer(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        m = held.value
+        for s in texts:
+            got = [m.infer(t) for t in s]
+            yield pd.DataFrame({"langs": [[{"lang": a, "share": x} for a, x in g] for g in got], "lang_pred": [g[0][0] if g else UNKNOWN for g in got], "score": [g[0][1] if g else 0.0 for g in got]})
+
+    return infer(F.col(text).cast("string"))
+
+
 def identify(docs: DataFrame, model: Mixture, text: str = "text") -> DataFrame:
     """The documents with langs (an array of structs: lang, share), lang_pred and score.
 
@@ -160,18 +173,13 @@ def identify(docs: DataFrame, model: Mixture, text: str = "text") -> DataFrame:
     Columns of these three names in ``docs`` are replaced.
     """
     docs = docs.drop("langs", "lang_pred", "score")
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)  # max_langs x 2 ** bits numbers at most
+    out = docs.withColumn("_folium_lang", _inferred(docs, model, text))
+    return out.select(*docs.columns, *(F.col("_folium_lang")[n].alias(n) for n in ("langs", "lang_pred", "score")))
 
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = held.value
-        for s in texts:
-            got = [m.infer(t) for t in s]
-            yield pd.DataFrame({"langs": [[{"lang": a, "share": x} for a, x in g] for g in got], "lang_pred": [g[0][0] if g else UNKNOWN for g in got], "score": [g[0][1] if g else 0.0 for g in got]})
 
-    infer = F.pandas_udf(run, schema("langs array<struct<lang string, share double>>, lang_pred string, score double"), F.PandasUDFType.SCALAR_ITER)
-    out = docs.withColumn("_found", infer(F.col(text).cast("string")))
-    return out.select(*docs.columns, F.col("_found.langs").alias("langs"), F.col("_found.lang_pred").alias("lang_pred"), F.col("_found.score").alias("score"))
+def accepted(docs: DataFrame, model: Mixture, text: str = "text") -> DataFrame:
+    """The documents, as they are, whose language could be told; ``und`` is rejected."""
+    return docs.withColumn("_folium_lang", _inferred(docs, model, text)["lang_pred"]).where(F.col("_folium_lang") != UNKNOWN).drop("_folium_lang")
 
 
 def fold(key: str = "doc_id"):

@@ -132,9 +132,9 @@ def _forest(ids: np.ndarray, link: np.ndarray) -> pd.DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, least: int = 85, words: int = 5, side: int = 12, rows: int = 2, block: int = 1 << 20, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None,
+    docs: DataFrame, least: int = 85, words: int = 5, side: int = 12, rows: int = 2, block: int = 1 << 20, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None, digest: bool = False,
 ) -> DataFrame:
-    """One row per row of ``docs``: key, n_shingles, component_id, kept.
+    """One row per row of ``docs``: key, n_shingles, component_id, kept; with ``digest``, text_sha256 too.
 
     Links documents whose sets have a Jaccard similarity of ``least`` percent or
     more. Null, empty and blank texts have no shingles and link with nothing;
@@ -146,6 +146,8 @@ def near_duplicates(
     kind = docs.schema[key].dataType.simpleString()
     source = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t"))
 
+    signed_source = source.withColumn("d", F.unhex(F.sha2("t", 256)) if digest else F.lit(None).cast("binary"))
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for b in batches:
@@ -155,9 +157,9 @@ def near_duplicates(
                 n.append(len(s))
                 h.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 keys.append(keys_of(s, side, rows).view(np.int64) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["k", "n", "h", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h, pa.binary()), pa.array(keys, pa.list_(pa.int64())), b.column(2)], ["k", "n", "h", "keys", "d"])
 
-    signed = scratch.keep(source.mapInArrow(sign, schema(f"k {kind}, n long, h binary, keys array<long>")), "signed")
+    signed = scratch.keep(signed_source.mapInArrow(sign, schema(f"k {kind}, n long, h binary, keys array<long>, d binary")), "signed")
     classes = signed.where("h is not null").groupBy("h").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     classes = scratch.keep(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
 
@@ -222,9 +224,31 @@ def near_duplicates(
     smallest = named.groupBy("component").agg(F.min("k").alias("component_id"))
     of = classes.select("h", "c", F.col("k").alias("own")).join(found.withColumnRenamed("node", "c"), "c", "left").join(smallest, "component", "left")
     of = scratch.keep(of.select("h", F.coalesce("component_id", "own").alias("component_id")), "result")
-    out = signed.select("k", "n", "h").join(of, "h", "left")
+    out = signed.select("k", "n", "h", "d").join(of, "h", "left")
     component = F.when(F.col("h").isNull(), F.col("k")).otherwise(F.col("component_id"))
-    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("k").eqNullSafe(component).alias("kept"))
+    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("k").eqNullSafe(component).alias("kept"), *([F.col("d").alias("text_sha256")] if digest else []))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents, as they are, without those that have a near duplicate with a smaller key.
+
+    One row of each group stays: the one with the smallest key; of rows that
+    share key and group the one with the smallest digest of its text, and one
+    of those that are equal in both. Rows without shingles all stay.
+    """
+    scratch = Scratch(docs.sparkSession, "one-of-each")
+    judged = scratch.keep(near_duplicates(docs, key=key, text=text, digest=True, **options), "judged")
+    kept = judged.where("kept and n_shingles > 0").select(F.col(key).alias("_folium_k"), F.col("component_id").alias("c"), F.col("text_sha256").alias("_folium_d"))
+    # Null keys name no group: their rows go by text.
+    group = F.struct(F.col("c"), F.when(F.col("c").isNull(), F.col("_folium_d")))
+    kept = kept.groupBy(group.alias("g")).agg(F.min(F.struct("_folium_k", "_folium_d")).alias("x")).select("x.*")
+    copies = judged.join(kept, F.col(key).eqNullSafe(F.col("_folium_k")) & (F.col("text_sha256") == F.col("_folium_d")), "left_semi").groupBy(key, "text_sha256").count().where("count > 1")
+    blank = judged.where("n_shingles = 0").select(F.col(key).alias("_folium_k"), F.col("text_sha256").alias("_folium_d")).distinct()
+    marked = docs.withColumn("_folium_t", F.unhex(F.sha2(text_or_empty(text), 256)))
+    stay = lambda some: marked.join(some, F.col(key).eqNullSafe(F.col("_folium_k")) & (F.col("_folium_t") == F.col("_folium_d")), "left_semi")
+    if copies.isEmpty():  # as always where keys are unique
+        return stay(kept.unionByName(blank)).drop("_folium_t")
+    return stay(kept).dropDuplicates([key, "_folium_t"]).unionByName(stay(blank)).drop("_folium_t")
 
 
 def op10_tensored_banding(spark: SparkSession, sf_dir: str) -> DataFrame:

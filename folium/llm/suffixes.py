@@ -376,6 +376,20 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text:
     )
 
 
+def without_repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", **options) -> DataFrame:
+    """The documents with repeats cut out of their texts; what a cut leaves of a character goes too. Other texts stay as they are, null ones too."""
+    changed = remove_repeats(docs, width, text, keep_bytes=True, **options)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.as_py().decode("utf-8", "ignore") for x in b.column(1)], pa.string())], ["_folium_h", "_folium_text"])
+
+    left = changed.select("h", "kept").mapInArrow(decode, schema("_folium_h binary, _folium_text string"))
+    left = Scratch(docs.sparkSession, "cut-texts").keep(left, "left")
+    marked = docs.withColumn("_folium_t", F.unhex(F.sha2(text_or_empty(text), 256))).join(left, F.col("_folium_t") == F.col("_folium_h"), "left")
+    return marked.withColumn(text, F.coalesce("_folium_text", text)).select(*docs.columns)
+
+
 def op4_two_stage_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
