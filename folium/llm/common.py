@@ -29,6 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_HELD: list = []
+
+
+def held(name: str, make):
+    """A worker's large table, such as a vocabulary with what was looked up: made once, kept until another is asked for."""
+    if not _HELD or _HELD[0] != name:
+        _HELD[:] = ()
+        _HELD[:] = (name, make())
+    return _HELD[1]
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive executors.
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm.common import Scratch, schema, table, text_or_empty
+from folium.llm.common import Scratch, held, schema, table, text_or_empty
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -179,14 +180,14 @@ def _merge(places: list[int], after: int, before: int, low: int, high: int) -> l
 
 
 def _blocks(items: DataFrame, size: int) -> Iterator[list[tuple[object, list[bytes]]]]:
-    held = []
-    for key, text in items.toLocalIterator():  # one partition at a time; a block is what is held
-        held.append((key, words_of(text)))
-        if len(held) == size:
-            yield held
-            held = []
-    if held:
-        yield held
+    some = []
+    for key, text in items.toLocalIterator():  # one partition at a time
+        some.append((key, words_of(text)))
+        if len(some) == size:
+            yield some
+            some = []
+    if some:
+        yield some
 
 
 def contaminated(
@@ -204,10 +205,11 @@ def contaminated(
     found = [docs.sparkSession.createDataFrame([], schema(spec))]
     names = [f.split(" ")[0] for f in spec.split(", ")]
     for items in _blocks(benchmark.select(item_key, text_or_empty(item_text)), block):
-        held = docs.sparkSession.sparkContext.broadcast(items)  # at most ``block`` items
+        sent = docs.sparkSession.sparkContext.broadcast(items)  # at most ``block`` items
+        name = f"walks {uuid.uuid4().hex}"
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            walks = Walks(held.value, similarity, repetitions, samples)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
+            walks = held(name, lambda: Walks(sent.value, similarity, repetitions, samples))
             for b in batches:
                 hits = []
                 for begin in range(0, b.num_rows, 2048):

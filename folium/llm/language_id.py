@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import sys
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm.common import schema, table
+from folium.llm.common import held, schema, table
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -154,11 +155,12 @@ def train(docs: DataFrame, bits: int = 15, max_langs: int = 512, text: str = "te
 
 
 def _inferred(docs: DataFrame, model: Mixture, text: str):
-    held = docs.sparkSession.sparkContext.broadcast(model)  # max_langs x 2 ** bits numbers at most
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # max_langs x 2 ** bits numbers at most
+    name = f"mixture {uuid.uuid4().hex}"
 
     @F.pandas_udf(schema("langs array<struct<lang string, share double>>, lang_pred string, score double"))
     def infer(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = held.value
+        m = held(name, lambda: sent.value)
         for s in texts:
             got = [m.infer(t) for t in s]
             yield pd.DataFrame({"langs": [[{"lang": a, "share": x} for a, x in g] for g in got], "lang_pred": [g[0][0] if g else UNKNOWN for g in got], "score": [g[0][1] if g else 0.0 for g in got]})

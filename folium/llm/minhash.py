@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm.common import Scratch, schema, table, text_or_empty
+from folium.llm.common import Scratch, held, schema, table, text_or_empty
 from folium.llm.components import connected, roots
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -149,7 +149,7 @@ def near_duplicates(
     signed_source = source.withColumn("d", F.unhex(F.sha2("t", 256)) if digest else F.lit(None).cast("binary"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
+        shingler = held(f"shingles {words}", lambda: Shingler(words))
         for b in batches:
             n, h, keys = [], [], []
             for t in b.column(1):
@@ -183,7 +183,7 @@ def near_duplicates(
     members = members.join(weights, "g").select(F.col("k").alias("rep"), "h", "c", "g", "cuts")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
+        shingler = held(f"shingles {words}", lambda: Shingler(words))
         for b in batches:
             t, h, c, g, cuts = b.columns
             keep, found = [], []

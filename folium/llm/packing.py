@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm.common import WHITE, Scratch, schema, table, text_or_empty
+from folium.llm.common import WHITE, Scratch, held, schema, table, text_or_empty
 
 WORD = re.compile(f"[^{WHITE}]+")
 END_ID = 2
@@ -103,13 +103,8 @@ class WordIds:
                 yield np.frombuffer(b"".join(map(cache.__getitem__, words)), self.kind)
 
 
-_IDS: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
-    if path not in _IDS:
-        _IDS[path] = WordIds(path)
-    return _IDS[path]
+    return held(f"words {path}", lambda: WordIds(path))
 
 
 def crc(ids: np.ndarray) -> int:
@@ -169,24 +164,24 @@ def pack_documents(
         tok = word_ids(path)
         names = [f.split(" ")[0] for f in spec.split(", ")]
         # A task's documents are packed in groups of bounded size.
-        held, tokens, sequence = [], 0, 0
+        waiting, tokens, sequence = [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, tokens, sequence
-            held.sort(key=lambda x: (-len(x[2]), str(x[0]), x[2].tobytes()))
-            lengths = np.array([len(x[2]) for x in held], np.int64)
+            nonlocal waiting, tokens, sequence
+            waiting.sort(key=lambda x: (-len(x[2]), str(x[0]), x[2].tobytes()))
+            lengths = np.array([len(x[2]) for x in waiting], np.int64)
             count = int(lengths.sum()) // capacity
             pieces, rest = fill(lengths, count, capacity, linear, quadratic)
             rows = []
             for item, start, n, at, offset in pieces:
-                k, before, ids, total = held[item]
+                k, before, ids, total = waiting[item]
                 rows.append((k, before + start, n, crc(ids[start : start + n]), total, task, sequence + at, offset, None))
             for item, start, n in rest:
-                k, before, ids, total = held[item]
+                k, before, ids, total = waiting[item]
                 part = ids[start : start + n]
                 rows.append((k, before + start, n, crc(part), total, task, None, None, part.astype("<u4").tobytes()))
             sequence += count
-            held, tokens = [], 0
+            waiting, tokens = [], 0
             yield from emit(rows)
 
         def emit(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -207,12 +202,12 @@ def pack_documents(
                     full.append((k, start, capacity, crc(ids[start : start + capacity]), total, task, sequence, 0, None))
                     sequence, start = sequence + 1, start + capacity
                 if start < total:
-                    held.append((k, start, ids[start:].copy(), total))
+                    waiting.append((k, start, ids[start:].copy(), total))
                     tokens += total - start
             yield from emit(full)
             if tokens > 6000 * capacity:
                 yield from flush()
-        if held:
+        if waiting:
             yield from flush()
 
     packed = scratch.keep(docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).mapInArrow(run, schema(spec)), "tasks")

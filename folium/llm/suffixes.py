@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm.common import Scratch, schema, table, text_or_empty
+from folium.llm.common import Scratch, held, schema, table, text_or_empty
 
 WIDTH, GRAM, BLOCK = 400, 32, 28
 CHUNK = 1 << 23  # window starts looked at together; a place in a chunk has to fit 24 bits
@@ -200,6 +200,7 @@ def covered_ranges(docs: DataFrame, width: int = WIDTH, shard_bytes: int = 4 <<
     source = docs.select(F.unhex(F.sha2(whole, 256)).alias("h"), whole.cast("binary").alias("t"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("suffixes", lambda: None)  # makes room
         for b in batches:
             rows, owners = [], []
             for k, t in enumerate(b.column(1)):
@@ -346,17 +347,17 @@ def cut(data: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, spans
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", keep_bytes: bool = False, **options) -> DataFrame:
-    """One row per distinct text with something removed: h (its SHA-256), n_removed, n_spans, kept_sha256, and kept if asked for."""
+def remove_repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", keep_text: bool = False, **options) -> DataFrame:
+    """One row per distinct text with something removed: h (its SHA-256), n_removed, n_spans, kept_sha256, and kept, the text that is left, if asked for. What a cut leaves of a character isn't in kept."""
     texts, ranges = covered_ranges(docs, width, text=text, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             done = [cut(t.as_py(), [(x["a"], x["b"]) for x in r.as_py()]) for t, r in zip(b.column(1), b.column(2))]
-            arrays = [b.column(0), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64()), pa.array([hashlib.sha256(d[0]).hexdigest() for d in done]), pa.array([d[0] if keep_bytes else None for d in done], pa.binary())]
+            arrays = [b.column(0), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64()), pa.array([hashlib.sha256(d[0]).hexdigest() for d in done]), pa.array([d[0].decode("utf-8", "ignore") if keep_text else None for d in done], pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, ["h", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return texts.join(ranges, "h").select("h", "t", "ranges").mapInArrow(run, schema("h binary, n_removed long, n_spans long, kept_sha256 string, kept binary"))
+    return texts.join(ranges, "h").select("h", "t", "ranges").mapInArrow(run, schema("h binary, n_removed long, n_spans long, kept_sha256 string, kept string"))
 
 
 def suffix_dedup(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -378,14 +379,8 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text:
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", **options) -> DataFrame:
     """The documents with repeats cut out of their texts; what a cut leaves of a character goes too. Other texts stay as they are, null ones too."""
-    changed = remove_repeats(docs, width, text, keep_bytes=True, **options)
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.as_py().decode("utf-8", "ignore") for x in b.column(1)], pa.string())], ["_folium_h", "_folium_text"])
-
-    left = changed.select("h", "kept").mapInArrow(decode, schema("_folium_h binary, _folium_text string"))
-    left = Scratch(docs.sparkSession, "cut-texts").keep(left, "left")
+    changed = remove_repeats(docs, width, text, keep_text=True, **options)
+    left = Scratch(docs.sparkSession, "cut-texts").keep(changed.select(F.col("h").alias("_folium_h"), F.col("kept").alias("_folium_text")), "left")
     marked = docs.withColumn("_folium_t", F.unhex(F.sha2(text_or_empty(text), 256))).join(left, F.col("_folium_t") == F.col("_folium_h"), "left")
     return marked.withColumn(text, F.coalesce("_folium_text", text)).select(*docs.columns)
 

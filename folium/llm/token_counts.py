@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm.common import WHITE, schema, table, text_or_empty
+from folium.llm.common import WHITE, held, schema, table, text_or_empty
 
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
@@ -141,13 +141,8 @@ class RankMerger:
         return out
 
 
-_MERGERS: dict[str, RankMerger] = {}
-
-
 def merger(path: str) -> RankMerger:
-    if path not in _MERGERS:
-        _MERGERS[path] = RankMerger(path)
-    return _MERGERS[path]
+    return held(f"ranks {path}", lambda: RankMerger(path))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, key: str = "doc_id", text: str = "text") -> DataFrame:
