@@ -3,15 +3,19 @@
 Two collections of ``side`` short minhash keys each are computed per document;
 a table key is a pair of one key from either, so ``side ** 2`` tables cost
 ``2 * side`` keys. A pair of documents meets in some table if it agrees in one
-key of both collections; with 12 keys of 2 minhashes a side, that fails for a
-pair at the threshold with probability 4e-7.
+key of both collections; with 18 keys of 4 minhashes a side, that fails for a
+pair at the threshold with probability 4e-6, and holds for a pair with a
+similarity of 0.2 with probability 8e-4, so that unlike documents seldom chain.
 
 Documents with equal shingle sets are one class. Keys that no other class has
 are dropped before pairs are formed, so a document without look-alikes costs
-``2 * side`` rows. Table keys join classes into groups (connected components);
-in a group all pairs are verified on full sets by counting shared shingles,
-groups too large for one task in tiles of blocks of bounded size. A tile
-returns a spanning forest of its links, never its pairs.
+``2 * side`` rows. Table keys join classes into groups (connected components),
+in which links are verified on full sets by counting shared shingles. A group
+too large for one task is cut into parts of bounded size. Every part is
+verified within, together with a few pivots of its group; near copies of one
+text are one component after that. Only classes outside a group's largest
+component then meet all of its parts. A task returns a spanning forest of its
+links, never its pairs.
 """
 
 from __future__ import annotations
@@ -132,21 +136,22 @@ def _forest(ids: np.ndarray, link: np.ndarray) -> pd.DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, least: int = 85, words: int = 5, side: int = 12, rows: int = 2, block: int = 1 << 20, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None, digest: bool = False,
+    docs: DataFrame, least: int = 85, words: int = 5, side: int = 18, rows: int = 4, block: int = 1 << 20, most: int = 1024, pivots: int = 4,
+    key: str = "doc_id", text: str = "text", scratch: Scratch | None = None, digest: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: key, n_shingles, component_id, kept; with ``digest``, text_sha256 too.
 
     Links documents whose sets have a Jaccard similarity of ``least`` percent or
     more. Null, empty and blank texts have no shingles and link with nothing;
     rows that repeat are linked with each other; a component's id is the
-    smallest key in it (null if all are). ``block``: shingles in a block.
+    smallest key in it (null if all are). A part of a group has ``block``
+    shingles or ``most`` classes, about.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "minhash")
     kind = docs.schema[key].dataType.simpleString()
-    source = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t"))
-
-    signed_source = source.withColumn("d", F.unhex(F.sha2("t", 256)) if digest else F.lit(None).cast("binary"))
+    whole_text = text_or_empty(text)
+    source = docs.select(F.col(key).alias("k"), whole_text.alias("t"), F.unhex(F.sha2(whole_text, 256)).alias("d"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = held(f"shingles {words}", lambda: Shingler(words))
@@ -159,8 +164,9 @@ def near_duplicates(
                 keys.append(keys_of(s, side, rows).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h, pa.binary()), pa.array(keys, pa.list_(pa.int64())), b.column(2)], ["k", "n", "h", "keys", "d"])
 
-    signed = scratch.keep(signed_source.mapInArrow(sign, schema(f"k {kind}, n long, h binary, keys array<long>, d binary")), "signed")
-    classes = signed.where("h is not null").groupBy("h").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    signed = scratch.keep(source.mapInArrow(sign, schema(f"k {kind}, n long, h binary, keys array<long>, d binary")), "signed")
+    first = F.min(F.struct(F.col("k").isNull().alias("no"), "k", "d")).alias("x")  # null keys last
+    classes = signed.where("h is not null").groupBy("h").agg(first, F.first("n").alias("n"), F.first("keys").alias("keys")).select("h", "x.k", "x.d", "n", "keys")
     classes = scratch.keep(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
 
     # Short keys that more than one class has, and the tables they form.
@@ -178,46 +184,55 @@ def near_duplicates(
     scratch.drop("tables")
 
     # Full sets of the classes that met others.
-    members = groups.select(F.col("node").alias("c"), F.col("component").alias("g")).join(classes.select("c", "k", "n", "h"), "c")
-    weights = members.groupBy("g").agg(F.ceil(F.sum("n") / block).cast("int").alias("cuts"))
-    members = members.join(weights, "g").select(F.col("k").alias("rep"), "h", "c", "g", "cuts")
+    members = groups.select(F.col("node").alias("c"), F.col("component").alias("g")).join(classes.select("c", "k", "d", "n", "h"), "c")
+    weights = members.groupBy("g").agg(F.greatest(F.ceil(F.sum("n") / block), F.ceil(F.count("*") / most)).cast("int").alias("cuts"))
+    members = members.join(weights, "g").select(F.col("k").alias("rep"), F.col("d").alias("rep_d"), "h", "c", "g", "cuts")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = held(f"shingles {words}", lambda: Shingler(words))
         for b in batches:
-            t, h, c, g, cuts = b.columns
-            keep, found = [], []
-            for k in range(b.num_rows):
-                s = shingler.set_of(t[k].as_py())
-                if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == h[k].as_py():  # keys may repeat with other texts
-                    keep.append(k)
-                    found.append(s.tobytes())
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([c.take(at), g.take(at), cuts.take(at), pa.array(found, pa.binary())], ["c", "g", "cuts", "s"])
-
-    texts = source.join(members, F.col("k").eqNullSafe(F.col("rep"))).select("t", "h", "c", "g", "cuts")
-    full = scratch.keep(texts.mapInArrow(sets, schema("c long, g long, cuts int, s binary")).withColumn("part", F.pmod(F.xxhash64("c"), F.greatest("cuts", F.lit(1))).cast("int")), "sets")
-
-    def whole(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop_duplicates("c").sort_values("c")
-        return _forest(part["c"].to_numpy(np.int64), similar([np.frombuffer(x, np.uint64) for x in part["s"]], least))
+            found = [shingler.set_of(t.as_py()).tobytes() for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(found, pa.binary())], ["c", "g", "cuts", "s"])
 
-    def tile(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop_duplicates("c").sort_values("c")
-        i, j = int(part["i"].iloc[0]), int(part["j"].iloc[0])
-        a, b = part[part["part"] == i], part[part["part"] == j]
-        if i == j:
-            return _forest(a["c"].to_numpy(np.int64), similar([np.frombuffer(x, np.uint64) for x in a["s"]], least))
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": []})
-        link = similar([np.frombuffer(x, np.uint64) for x in a["s"]], least, [np.frombuffer(x, np.uint64) for x in b["s"]])
-        return _forest(np.concatenate((a["c"].to_numpy(np.int64), b["c"].to_numpy(np.int64))), link)
+    texts = source.join(members, F.col("k").eqNullSafe(F.col("rep")) & (F.col("d") == F.col("rep_d"))).select("t", "c", "g", "cuts")
+    full = texts.mapInArrow(sets, schema("c long, g long, cuts int, s binary")).withColumn("part", F.pmod(F.xxhash64("c"), "cuts").cast("int"))
+    full = scratch.keep(full, "sets")
 
     edge = schema("a long, b long")
-    small = full.where("cuts <= 1").groupBy("g").applyInPandas(whole, edge)
-    wide = full.where("cuts > 1").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    large = wide.select("c", "g", "part", "s", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j")).groupBy("g", "i", "j").applyInPandas(tile, edge)
-    found = connected(scratch.keep(small.unionByName(large), "links"), scratch, "links-cc")
+    read = lambda part: [np.frombuffer(x, np.uint64) for x in part["s"]]
+
+    def within(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.drop_duplicates("c").sort_values("c")
+        return _forest(part["c"].to_numpy(np.int64), similar(read(part), least))
+
+    def across(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["apart", "c"], ascending=[False, True]).drop_duplicates("c")
+        a, b = part[part["apart"]], part[~part["apart"]]
+        link = similar(read(a), least, read(b)) if len(a) and len(b) else similar(read(part), least)
+        return _forest(part["c"].to_numpy(np.int64), link)
+
+    small = full.where("cuts <= 1").groupBy("g").applyInPandas(within, edge)
+    large = full.where("cuts > 1")
+    chosen = large.groupBy("g", F.pmod(F.xxhash64("c", F.lit(1)), F.lit(pivots))).agg(F.min("c").alias("c")).select("c")
+    spread = large.join(chosen, "c", "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    parts = large.unionByName(spread).groupBy("g", "part").applyInPandas(within, edge)
+    links = scratch.keep(small.unionByName(parts), "links")
+    found = scratch.keep(connected(links, scratch, "links-cc"), "found")
+
+    # What isn't in the largest component of a large group meets all of the group's parts.
+    shape = large.select("c", "g", "cuts").distinct().join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    shape = scratch.keep(shape, "shape")
+    largest = shape.groupBy("g", "component").agg(F.count("*").alias("m")).groupBy("g").agg(F.max_by("component", F.struct("m", "component")).alias("main"))
+    apart = scratch.keep(shape.join(largest, "g").where("component <> main").select("c", "g"), "apart")
+    if not apart.isEmpty():
+        count = apart.groupBy("g").agg(F.ceil(F.count("*") / most).cast("int").alias("rests"))
+        columns = ["g", "i", "part", "c", "s", "apart"]
+        rest = large.drop("part").join(apart.select("c"), "c", "left_semi").join(count, "g").withColumn("i", F.pmod(F.xxhash64("c", F.lit(2)), "rests").cast("int"))
+        rest = rest.withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)), "apart": F.lit(True)}).select(columns)
+        every = large.join(count, "g").withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("rests") - 1)), "apart": F.lit(False)}).select(columns)
+        more = scratch.keep(rest.unionByName(every).groupBy("g", "i", "part").applyInPandas(across, edge), "more")
+        if not more.isEmpty():
+            found = scratch.keep(connected(links.unionByName(more), scratch, "all-cc"), "found-all")
     scratch.drop("sets")
 
     named = found.withColumnRenamed("node", "c").join(classes.select("c", "k"), "c")
