@@ -192,7 +192,7 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-def covered_ranges(docs: DataFrame, width: int = WIDTH, shard_bytes: int = 4 << 20, most: int = 4096, text: str = "text", scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+def covered_ranges(docs: DataFrame, width: int = WIDTH, shard_bytes: int = 2 << 20, most: int = 4096, text: str = "text", scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """Tables (h, t) of the distinct texts that may hold repeats, and (h, ranges) of what is covered; h: SHA-256 of the text."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "suffixes")
@@ -213,12 +213,14 @@ def covered_ranges(docs: DataFrame, width: int = WIDTH, shard_bytes: int = 4 <<
 
     spec = schema("h binary, gram long, seg long, first long, n long")
     sketched = scratch.keep(source.where(F.octet_length("t") >= width).mapInArrow(sketch, spec), "sketch")
-    twice = sketched.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
+    # Counts by gram are written before they are joined: so a hot gram's rows can be split among tasks.
+    twice = scratch.keep(sketched.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram"), "twice")
     alive = scratch.keep(sketched.join(twice, "gram"), "alive")
-    scratch.drop("sketch")
-    kinds = alive.groupBy("gram", "seg").agg(F.count("*").alias("times"), F.min("h").alias("rep"))
-    variety = kinds.groupBy("gram").agg(F.count("*").alias("kinds"))
-    kinds = scratch.keep(kinds.join(variety, "gram").where("times > 1 or kinds > 1"), "kinds")
+    scratch.drop("sketch", "twice")
+    each = scratch.keep(alive.groupBy("gram", "seg").agg(F.count("*").alias("times"), F.min("h").alias("rep")), "each")
+    variety = scratch.keep(each.groupBy("gram").agg(F.count("*").alias("kinds")), "variety")
+    kinds = scratch.keep(each.join(variety, "gram").where("times > 1 or kinds > 1"), "kinds")
+    scratch.drop("each", "variety")
     judged = alive.join(kinds, ["gram", "seg"])
     whole_ones = judged.where("times > 1").select("h", F.col("first").alias("a"), (F.col("first") + F.col("n") + (width - 1)).alias("b")).distinct()
     whole_ones = scratch.keep(whole_ones, "whole")
