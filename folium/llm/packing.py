@@ -148,7 +148,7 @@ def pack_documents(
     docs: DataFrame, path: str, capacity: int = 4096, linear: float = 1.0, quadratic: float = 1 / 1024, group: int = 256,
     end_id: int = END_ID, key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens, cost.
+    """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is its end id alone. Repeated rows are packed each for
     itself, also where their keys are null or equal; ties in length fall by key,
