@@ -110,22 +110,22 @@ def plan_blocks(blocks: list[tuple[int, int, int, int]], shards: int) -> dict[tu
 
 
 def with_blocks(docs: DataFrame, old_shard, key: str = "doc_id", text: str = "text", blocks: int = BLOCKS) -> DataFrame:
-    """The documents with _size, _crc, _old and _block."""
+    """The documents with _folium_size, _folium_crc, _folium_old and _folium_block."""
     whole = text_or_empty(text)
-    placed = docs.withColumns({"_size": (F.octet_length(whole) + 1).cast("long"), "_crc": F.crc32(whole.cast("binary")), "_old": old_shard.cast("int")})
-    return placed.withColumn("_block", F.pmod(F.xxhash64(key, "_crc"), F.lit(blocks)).cast("int"))
+    placed = docs.withColumns({"_folium_size": (F.octet_length(whole) + 1).cast("long"), "_folium_crc": F.crc32(whole.cast("binary")), "_folium_old": old_shard.cast("int")})
+    return placed.withColumn("_folium_block", F.pmod(F.xxhash64(key, "_folium_crc"), F.lit(blocks)).cast("int"))
 
 
 def plan(placed: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """One row per block: _old, _block, shard, first (the slot of its first row)."""
-    sums = placed.groupBy("_old", "_block").agg(F.sum("_size").alias("size"), F.count("*").alias("rows"))
-    blocks = sorted((r["_old"], r["_block"], r["size"], r["rows"]) for r in sums.collect())  # shards * blocks rows at most
+    """One row per block: _folium_old, _folium_block, shard, first (the slot of its first row)."""
+    sums = placed.groupBy("_folium_old", "_folium_block").agg(F.sum("_folium_size").alias("size"), F.count("*").alias("rows"))
+    blocks = sorted((r["_folium_old"], r["_folium_block"], r["size"], r["rows"]) for r in sums.collect())  # shards * blocks rows at most
     to, used, rows = plan_blocks(blocks, shards), [0] * shards, []
     for old, block, _, n in blocks:
         new = to[old, block]
         rows.append((old, block, new, used[new]))
         used[new] += n
-    return placed.sparkSession.createDataFrame(rows, schema("_old int, _block int, shard int, first long"))
+    return placed.sparkSession.createDataFrame(rows, schema("_folium_old int, _folium_block int, shard int, first long"))
 
 
 def reshard(docs: DataFrame, old_shard, shards: int = SHARDS, blocks: int = BLOCKS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -135,13 +135,13 @@ def reshard(docs: DataFrame, old_shard, shards: int = SHARDS, blocks: int = BLOC
     with equal keys keep a slot each; null keys come first in their block. An
     empty table gives no rows.
     """
-    light = with_blocks(docs, old_shard, key, text, blocks).select(key, "_size", "_crc", "_old", "_block")
-    nth = F.row_number().over(Window.partitionBy("_old", "_block").orderBy(key, "_crc", "_size")) - 1
+    light = with_blocks(docs, old_shard, key, text, blocks).select(key, "_folium_size", "_folium_crc", "_folium_old", "_folium_block")
+    nth = F.row_number().over(Window.partitionBy("_folium_old", "_folium_block").orderBy(key, "_folium_crc", "_folium_size")) - 1
     # The plan has shards * blocks rows at most, so it may be broadcast.
-    out = light.join(F.broadcast(plan(light, shards)), ["_old", "_block"])
+    out = light.join(F.broadcast(plan(light, shards)), ["_folium_old", "_folium_block"])
     return out.select(
-        key, F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
-        (F.col("first") + nth).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("_old").alias("old_shard"),
+        key, F.col("_folium_size").alias("size"), F.col("_folium_crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
+        (F.col("first") + nth).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("_folium_old").alias("old_shard"),
     )
 
 
@@ -149,9 +149,9 @@ def rewrite(docs: DataFrame, old_shard, root: str, shards: int = SHARDS, blocks:
     """Write the affected shards anew under ``root``/shard=N and leave the others as they are. Returns the affected ones."""
     placed = with_blocks(docs, old_shard, key, text, blocks)
     moves = plan(placed, shards)
-    changed = sorted({x for r in moves.where("_old <> shard").select("_old", "shard").distinct().collect() for x in r})
-    moved = placed.join(F.broadcast(moves), ["_old", "_block"]).where(F.col("shard").isin(changed))
-    out = moved.repartition(max(1, len(changed)) * files, "shard", F.pmod("_block", F.lit(files)))
+    changed = sorted({x for r in moves.where("_folium_old <> shard").select("_folium_old", "shard").distinct().collect() for x in r})
+    moved = placed.join(F.broadcast(moves), ["_folium_old", "_folium_block"]).where(F.col("shard").isin(changed))
+    out = moved.repartition(max(1, len(changed)) * files, "shard", F.pmod("_folium_block", F.lit(files)))
     out.select(*docs.columns, "shard").write.partitionBy("shard").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(root)
     return changed
 
