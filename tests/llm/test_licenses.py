@@ -46,4 +46,4 @@ def test_templates(spark, tmp_path):
     check(list(rows.values()), texts)
     labels = {k: r.labels for k, r in rows.items()}
     assert labels == {1: "mit-grant", 2: "", 3: "gpl,gpl-3.0,mit", 4: "", 5: "", 6: "", 7: "mit", 8: "apache,apache-2.0", 9: ""}
-    assert rows[1].score == 1.0 and rows[3].score == 0.75 and rows[7].score == 0.5
+    assert rows[1].score == 1.0 and rows[3].score == 6 / 9 and rows[7].score == 0.5
