@@ -27,17 +27,19 @@ def edge_counts(edges: DataFrame) -> DataFrame:
     return ends.agg(F.count_distinct("n").alias("nodes"), (F.count("*") / 2).cast("long").alias("edges"))
 
 
-def dense_ids(df: DataFrame, order: str, name: str = "id") -> DataFrame:
-    """Ids from 0 by a column of distinct longs from 0 up.
+def ranks(df: DataFrame, order: str, name: str = "id", group: tuple[str, ...] = (), span: int = SPAN) -> DataFrame:
+    """Ranks from 0, in each group, by a column of distinct longs from 0 up.
 
-    Ranks are taken in spans of the order, and the spans' sizes summed up, so that no task sorts all rows.
+    Ranks are taken in spans of the order, and the spans' sizes summed up, so
+    that no task sorts all rows, or all rows of a large group.
     """
-    spanned = df.withColumn("_span", F.expr(f"{order} div {SPAN}"))
-    sizes = spanned.groupBy("_span").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = sizes.select("_span", before.alias("_base"))  # a row per million rows
-    rank = F.row_number().over(Window.partitionBy("_span").orderBy(order)) - 1
-    return spanned.join(base, "_span").withColumn(name, (F.col("_base") + rank).cast("long")).drop("_span", "_base")
+    spanned = df.withColumn("_span", F.expr(f"{order} div {span}"))
+    sizes = spanned.groupBy(*group, "_span").agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy(*group).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select(*group, "_span", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"))  # a row a span and group
+    rank = F.row_number().over(Window.partitionBy(*group, "_span").orderBy(order)) - 1
+    placed = spanned.withColumn("_rank", rank).alias("l").join(base.select(*[F.col(c).alias(f"_b_{c}") for c in (*group, "_span")], "_base"), [F.col(f"l.{c}").eqNullSafe(F.col(f"_b_{c}")) for c in (*group, "_span")])
+    return placed.withColumn(name, (F.col("_base") + F.col("_rank")).cast("long")).drop("_span", "_base", "_rank", *[f"_b_{c}" for c in (*group, "_span")])
 
 
 def nodes(edges: DataFrame, alone: DataFrame | None = None) -> DataFrame:
@@ -50,7 +52,7 @@ def nodes(edges: DataFrame, alone: DataFrame | None = None) -> DataFrame:
     side = lambda c, k: F.struct(F.col(c).alias("name"), (F.col("pos") * 2 + k).alias("at"))
     seen = clean.select(F.explode(F.array(side("concept", 0), side("prerequisite", 1))).alias("x")).select("x.name", "x.at")
     first = seen.groupBy("name").agg(F.min("at").alias("at"))
-    out = dense_ids(first, "at").select("id", "name")
+    out = ranks(first, "at").select("id", "name")
     if alone is None:
         return out
     more = alone.select(X.node_name("name").alias("name")).where("name <> ''").distinct().join(out, "name", "left_anti")
@@ -71,8 +73,8 @@ def proper(edges: DataFrame) -> DataFrame:
     return normalized(edges).where("concept <> prerequisite").groupBy(*keys, "concept", "prerequisite").agg(F.min("pos").alias("pos"))
 
 
-def peel(edges: DataFrame) -> tuple[int, bool]:
-    """(edges in the longest chain, whether the graph is acyclic) of (concept, prerequisite).
+def _rounds(edges: DataFrame) -> tuple[int, DataFrame | None]:
+    """Rounds, and (n) of the nodes from which a cycle can be reached, or None if there is no cycle.
 
     Round k keeps the concepts that start a chain of k edges. In an acyclic
     graph every round loses some; one that loses none has a cycle.
@@ -85,9 +87,15 @@ def peel(edges: DataFrame) -> tuple[int, bool]:
         left = written(graph.join(alive, F.col("prerequisite") == F.col("n"), "left_semi").select(F.col("concept").alias("n")).distinct(), "chain")
         now = left.count()
         if now == size:
-            return rounds, False
+            return rounds, left
         alive, size = left, now
-    return rounds, True
+    return rounds, None
+
+
+def peel(edges: DataFrame) -> tuple[int, bool]:
+    """(edges in the longest chain, whether the graph is acyclic) of (concept, prerequisite)."""
+    rounds, cyclic = _rounds(edges)
+    return rounds, cyclic is None
 
 
 def longest_chain(edges: DataFrame) -> int:
@@ -118,12 +126,22 @@ def insert_acyclic(edges: DataFrame, graph: str | None = None) -> DataFrame:
     """Edges kept by insertion in the order of pos: one that would close a cycle is refused.
 
     Each graph (a column's value) is inserted for itself, in parallel with
-    others. Where all edges together are acyclic nothing can be refused, and
-    the order-dependent insertion is passed over.
+    others. Only edges that may lie on a cycle can be refused or be the reason
+    for it: those between nodes that reach a cycle and are reached from one.
+    All others stay without being looked at in order.
     """
     first = written(proper(edges), "proper")
-    if is_acyclic(first):
+    _, ahead = _rounds(first)
+    if ahead is None:
         return first.select(*edges.columns)
+    core = first
+    for side in ("concept", "prerequisite"):
+        core = core.join(ahead, F.col(side) == F.col("n"), "left_semi")
+    _, behind = _rounds(core.select(F.col("prerequisite").alias("concept"), F.col("concept").alias("prerequisite")))
+    for side in ("concept", "prerequisite"):
+        core = core.join(behind, F.col(side) == F.col("n"), "left_semi")
+    core = written(core, "core")
+    free = first.join(core.select("concept", "prerequisite").distinct(), ["concept", "prerequisite"], "left_anti")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         adjacent: dict[str, list[str]] = {}
@@ -136,7 +154,8 @@ def insert_acyclic(edges: DataFrame, graph: str | None = None) -> DataFrame:
                 adjacent.setdefault(c, []).append(p)
         return part[keep]
 
-    return first.select(*edges.columns).groupBy(*([graph] if graph else [])).applyInPandas(run, edges.schema)
+    kept = core.select(*edges.columns).groupBy(*([graph] if graph else [])).applyInPandas(run, edges.schema)
+    return free.select(*edges.columns).unionByName(kept)
 
 
 def direct(edges: DataFrame, concept: str) -> DataFrame:

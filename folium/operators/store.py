@@ -114,9 +114,9 @@ class ParquetStore:
 
 
 def export_texts(chapters: DataFrame, path: str) -> int:
-    """Chapter texts as text files, a folder for each file name; returns their number."""
-    out = chapters.select("book", "file", F.col("text").alias("value"))
-    out.write.partitionBy("book", "file").option("lineSep", "").mode("overwrite").text(path)
+    """Chapter texts as text files, a folder for each file name; returns their number. A text without a line end at its end gets one."""
+    out = chapters.select("book", "file", F.regexp_replace("text", r"\n\z", "").alias("value"))
+    out.write.partitionBy("book", "file").mode("overwrite").text(path)
     return out.count()
 
 

@@ -175,14 +175,14 @@ def slice_lookup_miss(spark, sf_dir):
 
 @_add(Q.LINES, Q.HEADS, select="SELECT doc_id, toc, line FROM mt")
 def toc_first_match(spark, sf_dir):
-    d = S.headed(spark, sf_dir).select("doc_id", F.explode(segment.match_headings(F.col("toc_lines"), X.lines("text"), F.col("title"))).alias("m"))
+    d = segment.matched(S.headed(spark, sf_dir)).select("doc_id", F.explode("_matches").alias("m"))
     return d.select("doc_id", "m.toc", "m.line")
 
 
 @_add(Q.LINES, Q.HEADS, Q.STARTS, select="SELECT doc_id, line AS start FROM st")
 def min_gap_starts(spark, sf_dir):
-    d = S.headed(spark, sf_dir).select("doc_id", segment.match_headings(F.col("toc_lines"), X.lines("text"), F.col("title")).alias("m"))
-    return d.select("doc_id", F.explode(segment.pick_starts(F.col("m"))).alias("s")).select("doc_id", F.col("s.line").alias("start"))
+    d = segment.matched(S.headed(spark, sf_dir))
+    return d.select("doc_id", F.explode(segment.pick_starts(F.col("_matches"))).alias("s")).select("doc_id", F.col("s.line").alias("start"))
 
 
 @_add(
@@ -373,9 +373,11 @@ def graph_prereqs_transitive(spark, sf_dir):
     return graph.closure(graph.proper(S.supply_edges(spark, sf_dir)))
 
 
-@_add(Q.GRAPH, select="SELECT prerequisite AS name FROM pe WHERE concept = 'france'")
+@_add(Q.GRAPH, select="SELECT prerequisite AS name FROM pe WHERE concept = (SELECT lower(n_name) FROM nation WHERE n_nationkey = 7)")
 def graph_prereqs_direct(spark, sf_dir):
-    return graph.direct(graph.proper(S.supply_edges(spark, sf_dir)), " FRANCE ")
+    edges_ = graph.proper(S.supply_edges(spark, sf_dir))
+    name = S.table(spark, sf_dir, "nation").where("n_nationkey = 7").first()["n_name"]
+    return graph.direct(edges_, f" {name.upper()} ")
 
 
 @_add(Q.GRAPH, select="SELECT concept AS name FROM pe WHERE prerequisite = 'asia'")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folium.functions import text as X
-from folium.operators import chapters, toc
+from folium.operators import chapters, graph, toc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +19,8 @@ def first_line(text: str = "text", chars: int = 40):
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """book, page_index, doc_id, text."""
-    at = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("book"), at.alias("page_index"), "doc_id", "text")
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), "doc_id", "text")
+    return graph.ranks(d, "doc_id", "page_index", ("book",)).select("book", F.col("page_index").cast("int").alias("page_index"), "doc_id", "text")
 
 
 def outline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
-os.environ["PYTHONPATH"] = os.pathsep.join(p for p in (str(ROOT), os.environ.get("PYTHONPATH")) if p)
+os.environ["PYTHONPATH"] = os.pathsep.join(p for p in (str(ROOT), str(ROOT / "tests"), os.environ.get("PYTHONPATH")) if p)
 
 
 @pytest.fixture(scope="session")
