@@ -32,7 +32,7 @@ class Backend(Protocol):
 
 
 def book_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
-    """(path, content) of files, by path."""
+    """(path, content) of files. Spark passes over files of no bytes."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
 
 

@@ -94,14 +94,14 @@ class FakeBook:
 
 class FakeBackend:
     def open(self, data):
-        if not data:
+        if data == b"broken":
             raise ValueError
         return FakeBook(data)
 
 
 def test_book_source(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"p|bad")
-    (tmp_path / "b.pdf").write_bytes(b"")
+    (tmp_path / "b.pdf").write_bytes(b"broken")
     files = books.book_files(spark, str(tmp_path))
     assert [tuple(r)[1:] for r in books.scan_metadata(files, FakeBackend).orderBy("book").collect()] == [(True, 2, "", "T", ""), (False, 0, "", "", "")]
     assert [tuple(r)[1:] for r in books.scan_outline(files, FakeBackend).orderBy("pos").collect()] == [(0, 0, "One", 0), (1, 1, None, 1)]
