@@ -148,10 +148,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, block: int = 1024, piv
     found = scratch.keep(loaded.mapInArrow(tile, schema("c long, links long, root long")), "found")
     scratch.drop("blocks")
     counts = found.groupBy("c").agg(F.sum("links").alias("links"))
-    groups = connected(found.select(F.col("c").alias("a"), F.col("root").alias("b")), scratch)
+    groups = scratch.keep(connected(found.select(F.col("c").alias("a"), F.col("root").alias("b")), scratch), "groups")
     named = groups.withColumnRenamed("node", "c").join(classes.select("c", "k"), "c")
-    smallest = named.groupBy("component").agg(F.min("k").alias("component_id"))
-    result = classes.select("h", "c", "n", F.col("k").alias("own")).join(counts, "c", "left").join(groups.withColumnRenamed("node", "c"), "c", "left").join(smallest, "component", "left")
+    smallest = scratch.keep(named.groupBy("component").agg(F.min("k").alias("component_id")), "smallest")
+    of = groups.join(smallest, "component").select(F.col("node").alias("c"), "component_id")  # before classes without a component come in
+    result = classes.select("h", "c", "n", F.col("k").alias("own")).join(counts, "c", "left").join(of, "c", "left")
     result = scratch.keep(result.select("h", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "own").alias("component_id")), "result")
     out = rows.select("k", "h").join(result, "h", "left")
     component = F.when(F.col("n_links").isNull(), F.col("k")).otherwise(F.col("component_id"))

@@ -236,8 +236,9 @@ def near_duplicates(
     scratch.drop("sets")
 
     named = found.withColumnRenamed("node", "c").join(classes.select("c", "k"), "c")
-    smallest = named.groupBy("component").agg(F.min("k").alias("component_id"))
-    of = classes.select("h", "c", F.col("k").alias("own")).join(found.withColumnRenamed("node", "c"), "c", "left").join(smallest, "component", "left")
+    smallest = scratch.keep(named.groupBy("component").agg(F.min("k").alias("component_id")), "smallest")
+    ids = found.join(smallest, "component").select(F.col("node").alias("c"), "component_id")  # before classes without a component come in
+    of = classes.select("h", "c", F.col("k").alias("own")).join(ids, "c", "left")
     of = scratch.keep(of.select("h", F.coalesce("component_id", "own").alias("component_id")), "result")
     out = signed.select("k", "n", "h", "d").join(of, "h", "left")
     component = F.when(F.col("h").isNull(), F.col("k")).otherwise(F.col("component_id"))
