@@ -14,8 +14,8 @@ in which links are verified on full sets by counting shared shingles. A group
 too large for one task is cut into parts of bounded size. Every part is
 verified within, together with a few pivots of its group; near copies of one
 text are one component after that. Only classes outside a group's largest
-component then meet all of its parts. A task returns a spanning forest of its
-links, never its pairs.
+component then meet all of its parts, and each other. A task returns a spanning
+forest of its links, never its pairs.
 """
 
 from __future__ import annotations
@@ -228,7 +228,8 @@ def near_duplicates(
         count = apart.groupBy("g").agg(F.ceil(F.count("*") / most).cast("int").alias("rests"))
         columns = ["g", "i", "part", "c", "s", "apart"]
         rest = large.drop("part").join(apart.select("c"), "c", "left_semi").join(count, "g").withColumn("i", F.pmod(F.xxhash64("c", F.lit(2)), "rests").cast("int"))
-        rest = rest.withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)), "apart": F.lit(True)}).select(columns)
+        # Part -1 holds nothing else: there the classes apart meet each other, and in the other parts only what isn't among them.
+        rest = rest.withColumns({"part": F.explode(F.sequence(F.lit(-1), F.col("cuts") - 1)), "apart": F.lit(True)}).select(columns)
         every = large.join(count, "g").withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("rests") - 1)), "apart": F.lit(False)}).select(columns)
         more = scratch.keep(rest.unionByName(every).groupBy("g", "i", "part").applyInPandas(across, edge), "more")
         if not more.isEmpty():

@@ -53,6 +53,22 @@ def test_brute_force(spark, texts, most):
     assert got == dict(enumerate(want))
 
 
+def test_small_clusters_of_a_large_group(spark):
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(2000)]
+    base, texts = rng.choices(vocab, k=200), []
+    for size in (60, 2, 2, 2, 2, 3, 3):  # all meet in tables; 14 classes are outside the largest cluster
+        words = list(base)
+        for k in rng.sample(range(5, 195, 10), 5 if size < 60 else 0):  # each takes five shingles of 196
+            words[k] = rng.choice(vocab)
+        texts += [" ".join([*words[:-1], f"end{len(texts)}x{c}"]) for c in range(size)]
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, most=16).collect()}
+    want = components([shingles(t) for t in texts])
+    assert len(set(want)) == 7 and got == dict(enumerate(want))
+
+
 def test_one_of_each(spark):
     long = "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 2
     rows = [(2, long, "x"), (1, long + "end", "y"), (1, long + "end", "y"), (None, long, "z"), (5, None, "u"), (6, "", "v"), (7, "other words stand here now", "w"), (None, "no key but this text alone", "k")]
