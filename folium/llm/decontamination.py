@@ -10,7 +10,11 @@ repetitions samples some steps of a walk of its own as a hash key. Windows that
 lack the words which any item of a size class needs are passed over (this loses
 nothing). Candidates are verified exactly with a bit-parallel edit distance.
 
-Items are taken in blocks of bounded size, each against all documents.
+The walks diverge with the square of the edits, so an item of more than
+``piece`` words is looked up by pieces of equal size: of m pieces, one has at
+most an m-th of the item's edits. Whole items are verified.
+
+Items are taken in blocks of a bounded number of pieces, each against all documents.
 """
 
 from __future__ import annotations
@@ -63,10 +67,15 @@ def best_match(item: list, text: list) -> tuple[int, int]:
     return best, end
 
 
+def cuts_of(n: int, piece: int) -> int:
+    """Into how many pieces an item of n words is cut."""
+    return max(1, -(-n // piece))
+
+
 class Walks:
     """The tables of a block of items."""
 
-    def __init__(self, items: list[tuple[object, list[bytes]]], similarity: float, repetitions: int, samples: int, seed: int = 7, ratio: float = 1.15):
+    def __init__(self, items: list[tuple[object, list[bytes]]], similarity: float, repetitions: int, samples: int, seed: int = 7, ratio: float = 1.15, piece: int = 30):
         rng = np.random.default_rng(seed)
         self.items = [(key, words) for key, words in items if words]
         self.ids: dict[bytes, int] = {}
@@ -75,17 +84,24 @@ class Walks:
         self.edits = [math.floor((1 - similarity) * len(c) + 1e-9) for c in coded]
         self.other = len(self.ids)  # any word that no item has
         self.bits = rng.integers(0, 1 << 64, (repetitions, self.other + 1), np.uint64)
-        order = sorted(range(len(coded)), key=lambda k: len(coded[k]))
+        # Pieces: item, place in it, words, edits that one of the item's pieces doesn't exceed.
+        self.pieces = []
+        for k, c in enumerate(coded):
+            m = cuts_of(len(c), piece)
+            at = [len(c) * x // m for x in range(m + 1)]
+            self.pieces += [(k, a, c[a:b], self.edits[k] // m) for a, b in zip(at, at[1:])]
+        size = [len(c) for _, _, c, _ in self.pieces]
+        order = sorted(range(len(size)), key=size.__getitem__)
         self.classes = []
         while order:
-            low = len(coded[order[0]])
-            mine = [k for k in order if len(coded[k]) <= max(low, int(low * ratio))]
+            low = size[order[0]]
+            mine = [x for x in order if size[x] <= max(low, int(low * ratio))]
             order = order[len(mine) :]
-            high, most = len(coded[mine[-1]]), max(self.edits[k] for k in mine)
+            high, most = size[mine[-1]], max(self.pieces[x][3] for x in mine)
             known = np.zeros(self.other + 1, bool)
-            for k in mine:
-                known[coded[k]] = True
-            need = min(len(coded[k]) - self.edits[k] for k in mine)
+            for x in mine:
+                known[self.pieces[x][2]] = True
+            need = min(size[x] - self.pieces[x][3] for x in mine)
             span = max(1, int(1.6 * low))
             tables = []
             for r in range(repetitions):
@@ -94,16 +110,16 @@ class Walks:
             self.classes.append((known, need, high + most, tables))
 
     def _index(self, mine: list[int], r: int, steps: list[int], high: int) -> tuple[list[np.ndarray], dict[int, list[int]]]:
-        """Prefix keys that some item has after each sampled step, and items by whole key."""
+        """Prefix keys that some piece has after each sampled step, and pieces by whole key."""
         pad = np.full((len(mine), high + 2 + len(steps) + max(steps)), self.other, np.int64)
-        for row, k in enumerate(mine):
-            pad[row, : len(self.coded[k])] = self.coded[k]
+        for row, x in enumerate(mine):
+            pad[row, : len(self.pieces[x][2])] = self.pieces[x][2]
         flat = pad.ravel()
         prefixes: list[np.ndarray] = []
         keys, _ = self._walk(flat, np.arange(len(mine)) * pad.shape[1], r, steps, prefixes, None)
         found: dict[int, list[int]] = defaultdict(list)
-        for k, key in zip(mine, keys.tolist()):
-            found[key].append(k)
+        for x, key in zip(mine, keys.tolist()):
+            found[key].append(x)
         return prefixes, dict(found)
 
     def _walk(self, text: np.ndarray, start: np.ndarray, r: int, steps: list[int], grow: list | None, keep: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
@@ -138,18 +154,19 @@ class Walks:
         for k, words in enumerate(found):
             text[begin[k] : begin[k + 1]] = np.fromiter(map(get, words, repeat(self.other)), np.int64, len(words))
         owner_of = lambda p: np.searchsorted(begin, p, side="right") - 1
-        pairs: dict[tuple[int, int], list[int]] = defaultdict(list)
+        pairs: dict[tuple[int, int], list[int]] = defaultdict(list)  # where the whole item would begin
         total = int(begin[-1])
         for known, need, reach, tables in self.classes:
             sums = np.concatenate(([0], np.cumsum(known[text], dtype=np.int32)))
             dense = np.flatnonzero(sums[reach : total + reach] - sums[:total] >= need)
             if not len(dense):
                 continue
-            for r, steps, (prefixes, items) in tables:
+            for r, steps, (prefixes, pieces) in tables:
                 keys, left = self._walk(text, dense, r, steps, None, prefixes)
                 for p, d, key in zip(dense[left].tolist(), owner_of(dense[left]).tolist(), keys.tolist()):
-                    for item in items.get(key, ()):
-                        pairs[d, item].append(p)
+                    for x in pieces.get(key, ()):
+                        item, at = self.pieces[x][:2]
+                        pairs[d, item].append(p - at)
         out = []
         for (d, item), places in pairs.items():
             code, edits, low = self.coded[item], self.edits[item], int(begin[d])
@@ -179,19 +196,23 @@ def _merge(places: list[int], after: int, before: int, low: int, high: int) -> l
     return [(a, b) for a, b in out]
 
 
-def _blocks(items: DataFrame, size: int) -> Iterator[list[tuple[object, list[bytes]]]]:
-    some = []
+def _blocks(items: DataFrame, size: int, piece: int) -> Iterator[list[tuple[object, list[bytes]]]]:
+    """Blocks of ``size`` pieces, or of one item that has more."""
+    some, total = [], 0
     for key, text in items.toLocalIterator():  # one partition at a time
-        some.append((key, words_of(text)))
-        if len(some) == size:
+        words = words_of(text)
+        cuts = cuts_of(len(words), piece)
+        if some and total + cuts > size:
             yield some
-            some = []
+            some, total = [], 0
+        some.append((key, words))
+        total += cuts
     if some:
         yield some
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, repetitions: int = 24, samples: int = 3, block: int = 4096,
+    docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, repetitions: int = 24, samples: int = 3, block: int = 4096, piece: int = 30,
     key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """One row per row of ``docs`` and item in it: key, item_id, edits, item_words, similarity, first_word, words.
@@ -204,12 +225,12 @@ def contaminated(
     rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t"))
     found = [docs.sparkSession.createDataFrame([], schema(spec))]
     names = [f.split(" ")[0] for f in spec.split(", ")]
-    for items in _blocks(benchmark.select(item_key, text_or_empty(item_text)), block):
-        sent = docs.sparkSession.sparkContext.broadcast(items)  # at most ``block`` items
+    for items in _blocks(benchmark.select(item_key, text_or_empty(item_text)), block, piece):
+        sent = docs.sparkSession.sparkContext.broadcast(items)  # at most ``block`` pieces, or one item
         name = f"walks {uuid.uuid4().hex}"
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
-            walks = held(name, lambda: Walks(sent.value, similarity, repetitions, samples))
+            walks = held(name, lambda: Walks(sent.value, similarity, repetitions, samples, piece=piece))
             for b in batches:
                 hits = []
                 for begin in range(0, b.num_rows, 2048):

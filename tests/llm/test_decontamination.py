@@ -71,3 +71,23 @@ def test_clean(tables):
     dirty = {r.doc_id for r in dc.contaminated(docs, bench).collect()}
     left = {r.doc_id for r in dc.clean(docs, bench).collect()}
     assert left == {r.doc_id for r in docs.collect()} - dirty and {900, 901, 902} <= left
+
+
+@pytest.mark.parametrize("n", [30, 58, 120, 250, 400])
+def test_recall_of_long_items(n):
+    rng = random.Random(n)
+    vocab = [f"v{i}" for i in range(3000)]
+    items, texts = [rng.choices(vocab, k=n) for _ in range(100)], []
+    for item in items:
+        edited = set(rng.sample(range(n), n // 5))
+        y = [w for k, a in enumerate(item) for w in (rng.choice(([], [rng.choice(vocab)], [a, rng.choice(vocab)])) if k in edited else [a])]
+        texts.append(rng.choices(vocab, k=40) + y + rng.choices(vocab, k=40))
+    walks = dc.Walks([(k, [w.encode() for w in i]) for k, i in enumerate(items)], 0.8, 24, 3)
+    got = {(d, i): edits for d, i, edits, *_ in walks.find([" ".join(t) for t in texts])}
+    assert got.keys() <= {(k, k) for k in range(100)} and len(got) >= 97
+    assert all(edits == dc.best_match(items[k], texts[k])[0] for (k, _), edits in got.items())
+
+
+def test_blocks_hold_a_number_of_pieces(spark):
+    df = spark.createDataFrame([(k, "w " * n) for k, n in enumerate((10, 70, 10, 400, 5))], "item_id long, text string").coalesce(1)
+    assert [[k for k, _ in b] for b in dc._blocks(df, 4, 30)] == [[0, 1], [2], [3], [4]]
