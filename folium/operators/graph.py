@@ -109,17 +109,49 @@ def is_acyclic(edges: DataFrame) -> bool:
     return peel(edges)[1]
 
 
-def reaches(adjacent: dict[str, list[str]], start: str, goal: str) -> bool:
-    seen, open_ = {start}, [start]
-    while open_:
-        at = open_.pop()
-        if at == goal:
-            return True
-        for nxt in adjacent.get(at, ()):
-            if nxt not in seen:
-                seen.add(nxt)
-                open_.append(nxt)
-    return False
+class Insertion:
+    """A graph that stays acyclic, with its nodes in a topological order that each edge kept may change (Pearce and Kelly).
+
+    Only the nodes that stand between an edge's ends in that order are searched.
+    """
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.out: dict[str, list[str]] = {}
+        self.into: dict[str, list[str]] = {}
+        self.low, self.high = 0, 0
+
+    def add(self, c: str, p: str) -> bool:
+        """Keeps the edge from c to p, unless c is reached from p."""
+        place = self.place
+        if p not in place:
+            self.high += 1
+            place[p], self.out[p], self.into[p] = self.high, [], []
+        if c not in place:
+            self.low -= 1
+            place[c], self.out[c], self.into[c] = self.low, [], []
+        first, last = place[p], place[c]
+        if first < last:
+            after, todo = {p}, [p]
+            while todo:
+                for n in self.out[todo.pop()]:
+                    if n == c:
+                        return False
+                    if n not in after and place[n] < last:
+                        after.add(n)
+                        todo.append(n)
+            ahead, todo = {c}, [c]
+            while todo:
+                for n in self.into[todo.pop()]:
+                    if n not in ahead and place[n] > first:
+                        ahead.add(n)
+                        todo.append(n)
+            moved = sorted(ahead, key=place.__getitem__) + sorted(after, key=place.__getitem__)
+            for n, at in zip(moved, sorted(place[n] for n in moved)):
+                place[n] = at
+        self.out[c].append(p)
+        self.into[p].append(c)
+        return True
 
 
 def insert_acyclic(edges: DataFrame, graph: str | None = None) -> DataFrame:
@@ -144,15 +176,8 @@ def insert_acyclic(edges: DataFrame, graph: str | None = None) -> DataFrame:
     free = first.join(core.select("concept", "prerequisite").distinct(), ["concept", "prerequisite"], "left_anti")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        adjacent: dict[str, list[str]] = {}
-        keep = []
-        part = part.sort_values("pos")
-        for c, p in zip(part["concept"], part["prerequisite"]):
-            fits = not reaches(adjacent, p, c)
-            keep.append(fits)
-            if fits:
-                adjacent.setdefault(c, []).append(p)
-        return part[keep]
+        part, held = part.sort_values("pos"), Insertion()
+        return part[[held.add(c, p) for c, p in zip(part["concept"], part["prerequisite"])]]
 
     kept = core.select(*edges.columns).groupBy(*([graph] if graph else [])).applyInPandas(run, edges.schema)
     return free.select(*edges.columns).unionByName(kept)

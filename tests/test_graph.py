@@ -1,10 +1,12 @@
 """The concept graph."""
 
 import random
+import re
 
 import pytest
 
 from folium.operators import graph
+from folium.plans import catalogue
 
 EDGES = [("A", "b"), ("b", "C"), ("c", "a"), ("a ", "B"), ("d", "D"), ("", "x"), ("a", "c")]
 
@@ -58,6 +60,19 @@ def test_insertion_is_greedy(spark, nodes, edges):
     assert reach == want
 
 
+def test_insertion_of_whole_texts(spark, tmp_path):
+    rng = random.Random(6)
+    vocab = ["".join(rng.choices("abcdefgh", k=3)) for _ in range(150)]
+    docs = [(d, f"s{d % 2}", "\n".join(" ".join(rng.choices(vocab, k=rng.randrange(1, 60))).title() for _ in range(3))) for d in range(12)] + [(12, "s0", None), (13, "s1", "")]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.source, r.concept, r.prerequisite) for r in catalogue.QUERIES["graph_dag_insert"](spark, str(tmp_path)).collect()}
+    want = set()
+    for source in ("s0", "s1"):
+        words = [[w for w in re.split("[^a-z]+", (t or "").lower()) if w] for _, s, t in docs if s == source]
+        want |= {(source, c, p) for c, p in greedy([e for w in words for e in zip(w, w[1:])])}
+    assert got == want
+
+
 def test_ranks(spark):
     df = spark.createDataFrame([(g, v) for g in ("a", None, "b") for v in (0, 3, 4, 11, 25)], "g string, v long")
     got = graph.ranks(df, "v", "r", ("g",), span=4).collect()
