@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm.common import Scratch, held, schema, table, text_or_empty
+from folium.llm.common import Scratch, grouped, held, schema, table, text_or_empty
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -232,10 +232,10 @@ def contaminated(
         def run(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
             walks = held(name, lambda: Walks(sent.value, similarity, repetitions, samples, piece=piece))
             for b in batches:
-                hits = []
-                for begin in range(0, b.num_rows, 2048):
-                    part = b.slice(begin, 2048).column(1).to_pylist()
+                hits, begin = [], 0
+                for part in grouped(b.column(1).to_pylist(), 1 << 22):
                     hits += [(begin + d, *rest) for d, *rest in walks.find(part)]
+                    begin += len(part)
                 if hits:
                     doc, item, edits, first, words = zip(*hits)
                     big = lambda x: pa.array(x, pa.int64())

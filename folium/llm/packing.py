@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm.common import WHITE, Scratch, held, schema, table, text_or_empty
+from folium.llm.common import WHITE, Scratch, grouped, held, schema, slices, table, text_or_empty
 
 WORD = re.compile(f"[^{WHITE}]+")
 END_ID = 2
@@ -57,7 +57,7 @@ class WordIds:
     white space.
     """
 
-    def __init__(self, path: str, cache_entries: int = 1_000_000):
+    def __init__(self, path: str, cache_entries: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -89,18 +89,24 @@ class WordIds:
         code = "HI"[self.kind.itemsize == 4]
         return {w: struct.pack(f"<{len(e)}{code}", *e.ids) for w, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False))}
 
+    def _joined(self, texts: list[str]) -> list[bytes]:
+        cut = [self.cut(t) for t in texts]
+        if len(self.cache) > self.cache_entries:
+            self.cache.clear()
+        cache = self.cache
+        unseen = list(set(chain.from_iterable(cut)).difference(cache))
+        for some in grouped(unseen, 1 << 16):
+            cache.update(self._learn(some))
+        return [b"".join(map(cache.__getitem__, words)) for words in cut]
+
     def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for begin in range(0, len(texts), 512):
-            cut = [self.cut(t) for t in texts[begin : begin + 512]]
-            if len(self.cache) > self.cache_entries:
-                self.cache.clear()
-            cache = self.cache
-            unseen = list(set(chain.from_iterable(cut)).difference(cache))
-            for k in range(0, len(unseen), 2000):
-                some = unseen[k : k + 2000]
-                cache.update(self._learn(some))
-            for words in cut:
-                yield np.frombuffer(b"".join(map(cache.__getitem__, words)), self.kind)
+        """A text of many characters is cut into pieces part by part."""
+        for some in grouped(texts):
+            if len(some) == 1:
+                raw = [b"".join(self._joined([part])[0] for part in slices(some[0]))]
+            else:
+                raw = self._joined(some)
+            yield from (np.frombuffer(x, self.kind) for x in raw)
 
 
 def word_ids(path: str) -> WordIds:
@@ -205,7 +211,7 @@ def pack_documents(
                     waiting.append((k, start, ids[start:].copy(), total))
                     tokens += total - start
             yield from emit(full)
-            if tokens > 6000 * capacity:
+            if tokens > 1024 * capacity:
                 yield from flush()
         if waiting:
             yield from flush()

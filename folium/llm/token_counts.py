@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm.common import WHITE, held, schema, table, text_or_empty
+from folium.llm.common import WHITE, grouped, held, schema, slices, table, text_or_empty
 
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
@@ -125,21 +125,29 @@ class RankMerger:
     def counts(self, texts: list[str], at_once: int = 50_000) -> list[int]:
         """Token counts of texts."""
         out = []
-        for begin in range(0, len(texts), 256):
-            cut, extra = [], []
-            for text in texts[begin : begin + 256]:
-                pieces = self.special.split(text) if self.special and self.special.search(text) else [text]
-                extra.append(len(pieces) - 1)
-                cut.append([c for p in pieces for c in CHUNK.findall(p)])
-            if len(self.cache) > self.cache_entries:
-                self.cache.clear()
-            cache = self.cache
-            unseen = list({c for chunks in cut for c in chunks if c not in cache})
-            for k in range(0, len(unseen), at_once):
-                self._learn(unseen[k : k + at_once])
-            out += [n + sum(map(cache.__getitem__, chunks)) for n, chunks in zip(extra, cut)]
+        for some in grouped(texts, 1 << 20):
+            if len(some) == 1:  # maybe very long: part by part
+                pieces = self._pieces(some[0])
+                out.append(len(pieces) - 1 + sum(self._counted([[part]], at_once)[0] for p in pieces for part in slices(p, 1 << 20)))
+            else:
+                pieces = [self._pieces(t) for t in some]
+                out += [len(p) - 1 + n for p, n in zip(pieces, self._counted(pieces, at_once))]
         return out
 
+    def _pieces(self, text: str) -> list[str]:
+        """A text without its special strings, each of which is one token."""
+        return self.special.split(text) if self.special and self.special.search(text) else [text]
+
+    def _counted(self, pieces: list[list[str]], at_once: int) -> list[int]:
+        cut = [[c for p in mine for c in CHUNK.findall(p)] for mine in pieces]
+        if len(self.cache) > self.cache_entries:
+            self.cache.clear()
+        cache = self.cache
+        unseen = list({c for chunks in cut for c in chunks if c not in cache})
+        for k in range(0, len(unseen), at_once):
+            self._learn(unseen[k : k + at_once])
+        return [sum(map(cache.__getitem__, chunks)) for chunks in cut]
+
 
 def merger(path: str) -> RankMerger:
     return held(f"ranks {path}", lambda: RankMerger(path))
