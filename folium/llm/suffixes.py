@@ -7,7 +7,9 @@ What repeats is a string of ``width`` bytes that starts at two places or more.
    anchors at equal distances, so a window can repeat only if its anchor's gram
    does. Consecutive windows with one anchor are a segment (about width / 2
    bytes on from the last). Texts are read once; anchors come as
-   (gram hash, segment hash) and are counted, copies within a task first.
+   (gram hash, segment hash) and are counted, copies within a task first; as it
+   only matters whether a segment comes once, a task passes over a third copy
+   of a text.
 2. Segments that occur more than once whole are covered. Those that share an
    anchor's gram with a different segment are contested, and only their bytes
    are looked at, one representative of each.
@@ -36,7 +38,8 @@ from pyspark.sql import functions as F
 from folium.llm.common import Scratch, held, schema, table, text_or_empty
 
 WIDTH, GRAM, BLOCK = 400, 32, 28
-CHUNK = 1 << 23  # window starts looked at together; a place in a chunk has to fit 24 bits
+CHUNK = 1 << 21  # window starts looked at together; a place in a chunk has to fit 24 bits
+SEEN = 1 << 17  # digests of texts that a task remembers
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -201,12 +204,21 @@ def covered_ranges(docs: DataFrame, width: int = WIDTH, shard_bytes: int = 2 <<
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("suffixes", lambda: None)  # makes room
+        seen: dict[bytes, int] = {}
         for b in batches:
             rows, owners = [], []
-            for k, t in enumerate(b.column(1)):
+            for k, (d, t) in enumerate(zip(b.column(0), b.column(1))):
+                digest = d.as_py()
+                times = seen[digest] = seen.get(digest, 0) + 1
+                if len(seen) > SEEN:  # what is forgotten is only looked at again
+                    seen.clear()
+                if times > 2:
+                    continue
                 got = segments(t.as_py(), width)
                 rows.append(got)
                 owners.append(np.full(len(got[0]), k))
+            if not rows:
+                continue
             gram, seg, first, count = (np.concatenate(x) for x in zip(*rows))
             h = b.column(0).take(pa.array(np.concatenate(owners)))
             yield pa.RecordBatch.from_arrays([h, pa.array(gram.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(first), pa.array(count)], ["h", "gram", "seg", "first", "n"])
@@ -231,7 +243,8 @@ def covered_ranges(docs: DataFrame, width: int = WIDTH, shard_bytes: int = 2 <<
     scratch.drop("alive", "kinds")
 
     touched = whole_ones.select("h").union(contested.select("h")).distinct()
-    texts = scratch.keep(source.join(touched, "h", "left_semi").dropDuplicates(["h"]), "texts")
+    # One text of each digest, copies within a task first: so the copies of a hot text don't meet in one task.
+    texts = scratch.keep(source.groupBy("h").agg(F.first("t").alias("t")).join(touched, "h", "left_semi"), "texts")
 
     wanted = contested.groupBy("h").agg(F.collect_list(F.struct("id", "gram", "first", "n", "times", "kinds")).alias("w"))
 
@@ -388,7 +401,8 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", **o
 
 
 def op4_two_stage_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(table(spark, sf_dir, "documents"))
+    """The contract's columns, and changed: whether the document loses anything."""
+    return suffix_dedup(table(spark, sf_dir, "documents")).withColumn("changed", F.col("n_removed") > 0)
 
 
 QUERIES = {"op4_two_stage_suffix_sort": op4_two_stage_suffix_sort}

@@ -63,6 +63,41 @@ def test_query_on_documents(spark, sf):
     assert any(w[0] for w in want)
 
 
+@pytest.mark.parametrize("chunk", [37, 100])
+def test_texts_longer_than_a_chunk(spark, monkeypatch, chunk):
+    """Segments end where a chunk of a text does, at other places in every text; what repeats across the border is found."""
+    texts = corpus(7, "ab")
+    monkeypatch.setattr(suffixes, "CHUNK", chunk)
+    cut = [suffixes.segments(t.encode(), 60) for t in texts]
+    monkeypatch.undo()
+    whole = [suffixes.segments(t.encode(), 60) for t in texts]
+    windows = lambda got: [i for a, n in zip(got[2].tolist(), got[3].tolist()) for i in range(a, a + n)]
+    assert [windows(g) for g in cut] == [windows(g) for g in whole] and any(len(a[0]) > len(b[0]) for a, b in zip(cut, whole))
+
+
+def test_beyond_a_chunk(spark):
+    """A passage across the end of the first chunk stands in a short text too."""
+    rng = random.Random(8)
+    long = "".join(rng.choices("abcdefghij ", k=suffixes.CHUNK + 3000))
+    at = suffixes.CHUNK - 250
+    texts = [long, "".join(rng.choices("xyz", k=70)) + long[at : at + 900]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffixes.suffix_dedup(df).collect()}
+    assert got == {0: (900, 1), 1: (900, 1)}
+
+
+def test_hot_copies(spark):
+    """Nine of ten rows are copies of one text, in every task."""
+    rng = random.Random(9)
+    hot = "".join(rng.choices("abcdefgh ", k=150))
+    texts = [hot] * 900 + ["".join(rng.choices("abcdefgh ", k=150)) for _ in range(90)] + ["z" * 9 + hot[:80]] * 10
+    rng.shuffle(texts)
+    want = brute([t.encode() for t in texts], 60)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.suffix_dedup(df, width=60).collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_cut_texts(spark):
     df = spark.createDataFrame([(1, "x" + "é" * 300, 5), (2, "é" * 300 + "y", 6), (3, None, 7), (3, "short", 8)], "doc_id long, text string, t int")
     got = sorted(suffixes.without_repeats(df, width=400).collect(), key=lambda r: r.t)
