@@ -13,9 +13,13 @@ are dropped before pairs are formed, so a document without look-alikes costs
 in which links are verified on full sets by counting shared shingles. A group
 too large for one task is cut into parts of bounded size. Every part is
 verified within, together with a few pivots of its group; near copies of one
-text are one component after that. Only classes outside a group's largest
-component then meet all of its parts, and each other. A task returns a spanning
-forest of its links, never its pairs.
+text are one component after that. What is left are links of classes outside a
+group's largest component. Two similar sets share one of their first shingles
+in any common order (as many as the threshold lets them differ in, and one
+more), so classes meet in postings of their rarest shingles: within short
+postings that hold several components pairs are verified; only classes in a
+long one meet the classes of its group's long postings, part by part. A task
+returns a spanning forest of its links, never its pairs.
 """
 
 from __future__ import annotations
@@ -36,6 +40,7 @@ from folium.llm.components import connected, roots
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED = 0x9E3779B97F4A7C15
+BITS = 16  # shingles are counted in so many buckets, as a power of 2, to tell rare ones
 
 
 class Shingler:
@@ -129,6 +134,17 @@ def _add(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
+def prefix_of(shingles: np.ndarray, least: int, seen: np.ndarray) -> np.ndarray:
+    """The shingles of which one is shared with every set that is similar enough: the rarest ones by ``seen``, counts by hash bucket."""
+    n = len(shingles)
+    rare = np.lexsort((shingles, seen[_bucket(shingles)]))
+    return shingles[rare[: n + (-least * n) // 100 + 1]]
+
+
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 def _forest(ids: np.ndarray, link: np.ndarray) -> pd.DataFrame:
     at = np.flatnonzero(link.any(1))
     root = roots(link[np.ix_(at, at)])
@@ -136,7 +152,7 @@ def _forest(ids: np.ndarray, link: np.ndarray) -> pd.DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, least: int = 85, words: int = 5, side: int = 18, rows: int = 4, block: int = 1 << 20, most: int = 1024, pivots: int = 4,
+    docs: DataFrame, least: int = 85, words: int = 5, side: int = 18, rows: int = 4, block: int = 1 << 20, most: int = 1024, pivots: int = 4, posting: int = 256,
     key: str = "doc_id", text: str = "text", scratch: Scratch | None = None, digest: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: key, n_shingles, component_id, kept; with ``digest``, text_sha256 too.
@@ -145,7 +161,8 @@ def near_duplicates(
     more. Null, empty and blank texts have no shingles and link with nothing;
     rows that repeat are linked with each other; a component's id is the
     smallest key in it (null if all are). A part of a group has ``block``
-    shingles or ``most`` classes, about.
+    shingles or ``most`` classes, about; a short posting has ``posting`` classes
+    at most.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "minhash")
@@ -169,23 +186,24 @@ def near_duplicates(
     classes = signed.where("h is not null").groupBy("h").agg(first, F.first("n").alias("n"), F.first("keys").alias("keys")).select("h", "x.k", "x.d", "n", "keys")
     classes = scratch.keep(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
 
-    # Short keys that more than one class has, and the tables they form.
+    # Short keys that more than one class has, and the tables they form. What is counted by a key is written
+    # before it is joined: so the rows of a hot key can be split among tasks.
     short = classes.select("c", F.posexplode("keys").alias("p", "s"))
-    shared = short.groupBy("p", "s").agg(F.count("*").alias("m")).where("m > 1").select("p", "s")
+    shared = scratch.keep(short.groupBy("p", "s").agg(F.count("*").alias("m")).where("m > 1").select("p", "s"), "shared")
     left = short.join(shared, ["p", "s"]).groupBy("c").agg(F.collect_list(F.struct("p", "s")).alias("e"))  # 2 * side entries at most
     pick = lambda cond: F.filter("e", cond)
     halves = left.select("c", pick(lambda x: x["p"] < side).alias("l"), pick(lambda x: x["p"] >= side).alias("r")).where("size(l) > 0 and size(r) > 0")
     tables = halves.select("c", F.explode("l").alias("l"), "r").select("c", "l", F.explode("r").alias("r"))
     tables = tables.select("c", F.col("l.p").alias("i"), F.col("r.p").alias("j"), F.xxhash64("l.s", "r.s").alias("key"))
     tables = scratch.keep(tables, "tables")
-    heads = tables.groupBy("i", "j", "key").agg(F.min("c").alias("head"), F.count("*").alias("m")).where("m > 1")
+    heads = scratch.keep(tables.groupBy("i", "j", "key").agg(F.min("c").alias("head"), F.count("*").alias("m")).where("m > 1").drop("m"), "heads")
     meet = tables.join(heads, ["i", "j", "key"]).select(F.col("c").alias("a"), F.col("head").alias("b")).where("a <> b").distinct()
     groups = scratch.keep(connected(meet, scratch, "meet"), "groups")
-    scratch.drop("tables")
+    scratch.drop("shared", "tables", "heads")
 
     # Full sets of the classes that met others.
-    members = groups.select(F.col("node").alias("c"), F.col("component").alias("g")).join(classes.select("c", "k", "d", "n", "h"), "c")
-    weights = members.groupBy("g").agg(F.greatest(F.ceil(F.sum("n") / block), F.ceil(F.count("*") / most)).cast("int").alias("cuts"))
+    members = scratch.keep(groups.select(F.col("node").alias("c"), F.col("component").alias("g")).join(classes.select("c", "k", "d", "n", "h"), "c"), "members")
+    weights = scratch.keep(members.groupBy("g").agg(F.greatest(F.ceil(F.sum("n") / block), F.ceil(F.count("*") / most)).cast("int").alias("cuts")), "weights")
     members = members.join(weights, "g").select(F.col("k").alias("rep"), F.col("d").alias("rep_d"), "h", "c", "g", "cuts")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,19 +237,13 @@ def near_duplicates(
     links = scratch.keep(small.unionByName(parts), "links")
     found = scratch.keep(connected(links, scratch, "links-cc"), "found")
 
-    # What isn't in the largest component of a large group meets all of the group's parts.
+    # What isn't in the largest component of a large group.
     shape = large.select("c", "g", "cuts").distinct().join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     shape = scratch.keep(shape, "shape")
-    largest = shape.groupBy("g", "component").agg(F.count("*").alias("m")).groupBy("g").agg(F.max_by("component", F.struct("m", "component")).alias("main"))
-    apart = scratch.keep(shape.join(largest, "g").where("component <> main").select("c", "g"), "apart")
-    if not apart.isEmpty():
-        count = apart.groupBy("g").agg(F.ceil(F.count("*") / most).cast("int").alias("rests"))
-        columns = ["g", "i", "part", "c", "s", "apart"]
-        rest = large.drop("part").join(apart.select("c"), "c", "left_semi").join(count, "g").withColumn("i", F.pmod(F.xxhash64("c", F.lit(2)), "rests").cast("int"))
-        # Part -1 holds nothing else: there the classes apart meet each other, and in the other parts only what isn't among them.
-        rest = rest.withColumns({"part": F.explode(F.sequence(F.lit(-1), F.col("cuts") - 1)), "apart": F.lit(True)}).select(columns)
-        every = large.join(count, "g").withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("rests") - 1)), "apart": F.lit(False)}).select(columns)
-        more = scratch.keep(rest.unionByName(every).groupBy("g", "i", "part").applyInPandas(across, edge), "more")
+    largest = scratch.keep(shape.groupBy("g", "component").agg(F.count("*").alias("m")).groupBy("g").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("components")), "largest")
+    shape = scratch.keep(shape.join(largest.where("components > 1"), "g").select("c", "g", "component", (F.col("component") != F.col("main")).alias("apart")), "split")
+    if not shape.isEmpty():
+        more = _across(scratch, scratch.keep(large.join(shape, ["c", "g"]), "split-sets"), least, most, posting, across)
         if not more.isEmpty():
             found = scratch.keep(connected(links.unionByName(more), scratch, "all-cc"), "found-all")
     scratch.drop("sets")
@@ -246,6 +258,58 @@ def near_duplicates(
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("k").eqNullSafe(component).alias("kept"), *([F.col("d").alias("text_sha256")] if digest else []))
 
 
+def _across(scratch: Scratch, sets: DataFrame, least: int, most: int, posting: int, blocks) -> DataFrame:
+    """Links between components of large groups, as (a, b). ``sets``: c, g, cuts, part, s, component, apart."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << BITS, np.int64)
+        for b in batches:
+            for x in b.column(0):
+                seen += np.bincount(_bucket(np.frombuffer(x.as_py(), np.uint64)), minlength=1 << BITS)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["bucket", "n"])
+
+    counted = sets.select("s").mapInArrow(count, schema("bucket long, n long")).groupBy("bucket").agg(F.sum("n").alias("n"))
+    seen = np.zeros(1 << BITS, np.int64)
+    for r in counted.collect():  # 2 ** BITS rows at most
+        seen[r["bucket"]] = r["n"]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [prefix_of(np.frombuffer(x.as_py(), np.uint64), least, seen) for x in b.column(4)]
+            at = pa.array(np.repeat(np.arange(b.num_rows), [len(f) for f in found]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), *(b.column(i).take(at) for i in range(4))], ["x", "g", "c", "component", "apart"])
+
+    postings = sets.select("g", "c", "component", "apart", "s").mapInArrow(first, schema("x long, g long, c long, component long, apart boolean"))
+    postings = scratch.keep(postings, "postings")
+    sizes = postings.groupBy("g", "x").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    postings = scratch.keep(postings.join(scratch.keep(sizes.select("g", "x", "m"), "sizes"), ["g", "x"]), "useful")
+    short = postings.where(F.col("m") <= posting)
+    other = short.select("g", "x", F.col("c").alias("b"), F.col("component").alias("of"))
+    pairs = short.where("apart").join(other, ["g", "x"]).where("component <> of").select(F.least("c", "b").alias("a"), F.greatest("c", "b").alias("b")).distinct()
+    pairs = scratch.keep(pairs, "pairs")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            one, two = ([np.frombuffer(x.as_py(), np.uint64) for x in b.column(i)] for i in (2, 3))
+            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(one, two)]
+            good = [100 * n >= least * (len(x) + len(y) - n) for n, x, y in zip(both, one, two)]
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good)), b.column(1).filter(pa.array(good))], ["a", "b"])
+
+    set_of = lambda c, s: sets.select(F.col("c").alias(c), F.col("s").alias(s))
+    linked = pairs.join(set_of("a", "s"), "a").join(set_of("b", "s2"), "b").select("a", "b", "s", "s2").mapInArrow(verify, schema("a long, b long"))
+
+    hot = scratch.keep(postings.where(F.col("m") > posting).select("c", "g", "apart").distinct(), "hot")
+    rests = scratch.keep(hot.where("apart").groupBy("g").agg(F.ceil(F.count("*") / most).cast("int").alias("rests")), "rests")
+    columns = ["g", "i", "part", "c", "s", "apart"]
+    met = sets.join(hot.select("c"), "c", "left_semi").join(rests, "g")
+    rest = met.where("apart").drop("part").withColumn("i", F.pmod(F.xxhash64("c", F.lit(2)), "rests").cast("int"))
+    # Part -1 holds nothing else: there the classes apart meet each other, and in the other parts only what isn't among them.
+    rest = rest.withColumns({"part": F.explode(F.sequence(F.lit(-1), F.col("cuts") - 1)), "apart": F.lit(True)}).select(columns)
+    every = met.withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("rests") - 1)), "apart": F.lit(False)}).select(columns)
+    return scratch.keep(linked.unionByName(rest.unionByName(every).groupBy("g", "i", "part").applyInPandas(blocks, schema("a long, b long"))), "more")
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents, as they are, without those that have a near duplicate with a smaller key.
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from folium.llm import minhash
@@ -44,16 +45,17 @@ def texts():
     return [*out, " ".join(rng.choices(vocab, k=50)), out[0].lower(), "", " \t\n", "one two", "ONE\vtwo", "one two three four five six seven eight", out[3] + "\r\n"]
 
 
-@pytest.mark.parametrize("most", [1024, 16])
-def test_brute_force(spark, texts, most):
+@pytest.mark.parametrize("most, posting", [(1024, 256), (16, 256), (16, 8), (16, 0)])
+def test_brute_force(spark, texts, most, posting):
     sets = [shingles(t) for t in texts]
     want = [(len(s), c, i == c) for i, (s, c) in enumerate(zip(sets, components(sets)))]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, most=most).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, most=most, posting=posting).collect()}
     assert got == dict(enumerate(want))
 
 
-def test_small_clusters_of_a_large_group(spark):
+@pytest.mark.parametrize("posting", [256, 4, 0])
+def test_small_clusters_of_a_large_group(spark, posting):
     rng = random.Random(5)
     vocab = [f"w{i}" for i in range(2000)]
     base, texts = rng.choices(vocab, k=200), []
@@ -64,11 +66,36 @@ def test_small_clusters_of_a_large_group(spark):
         texts += [" ".join([*words[:-1], f"end{len(texts)}x{c}"]) for c in range(size)]
     rng.shuffle(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, most=16).collect()}
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, most=16, posting=posting).collect()}
     want = components([shingles(t) for t in texts])
     assert len(set(want)) == 7 and got == dict(enumerate(want))
 
 
+@pytest.mark.parametrize("least", [80, 85])
+def test_prefixes_of_similar_sets_meet(least):
+    rng = random.Random(least)
+    seen = np.array([rng.randrange(5) for _ in range(1 << minhash.BITS)])
+    for _ in range(300):
+        n = rng.randrange(1, 60)
+        one = np.unique(np.array([rng.randrange(1 << 64) for _ in range(n)], np.uint64))
+        two = np.unique(np.append(one[: rng.randrange(n // 2, n + 1)], np.array([rng.randrange(1 << 64) for _ in range(rng.randrange(8))], np.uint64)))
+        both = len(np.intersect1d(one, two))
+        if len(two) and 100 * both >= least * (len(one) + len(two) - both):
+            assert np.intersect1d(minhash.prefix_of(one, least, seen), minhash.prefix_of(two, least, seen)).size
+
+
+def test_chain_of_a_large_group(spark):
+    """Each text is near its neighbours alone, so no component is main; all are one in the end."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in rng.sample(range(5000), 700)]
+    texts = [" ".join(words[4 * i : 4 * i + 160]) for i in range(120)]
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = components([shingles(t) for t in texts])
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, most=16).collect()}
+    assert set(want) == {0} and got == dict(enumerate(want))
+
+
 def test_one_of_each(spark):
     long = "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 2
     rows = [(2, long, "x"), (1, long + "end", "y"), (1, long + "end", "y"), (None, long, "z"), (5, None, "u"), (6, "", "v"), (7, "other words stand here now", "w"), (None, "no key but this text alone", "k")]
