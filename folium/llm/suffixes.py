@@ -195,7 +195,7 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-def covered_ranges(docs: DataFrame, width: int = WIDTH, shard_bytes: int = 2 << 20, most: int = 4096, text: str = "text", scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+def covered_ranges(docs: DataFrame, width: int = WIDTH, shard_bytes: int = 1 << 20, most: int = 4096, text: str = "text", scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """Tables (h, t) of the distinct texts that may hold repeats, and (h, ranges) of what is covered; h: SHA-256 of the text."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "suffixes")

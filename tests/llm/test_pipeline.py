@@ -33,9 +33,9 @@ def test_stages_in_order():
 def test_brute_force(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
     docs = [(k, t) for k, t in docs if any(c.isalpha() for c in t or "")]
-    comp = components([shingles(t) for _, t in docs])
+    comp = components([shingles(t) for _, t in docs], corpus_pipeline.SIMILARITY)
     docs = [d for i, d in enumerate(docs) if comp[i] == i]
-    docs = list(zip((k for k, _ in docs), left_of([t.encode() for _, t in docs])))
+    docs = list(zip((k for k, _ in docs), left_of([t.encode() for _, t in docs], corpus_pipeline.REPEAT_BYTES)))
     items = [dc.words_of(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     stands = lambda t: any(dc.best_match(i, dc.words_of(t))[0] <= int(0.2 * len(i) + 1e-9) for i in items)
     before = len(docs)
