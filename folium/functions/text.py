@@ -176,7 +176,8 @@ def mostly_upper(s) -> Column:
 
 
 def is_noisy(s, title) -> Column:
-    return has_chapter_name(s, title) | has_banned_word(lower_ascii(s)) | has_weird_chars(s) | ~has_letters(s) | mostly_upper(s)
+    # The cheap tests first: what they tell needs no pattern.
+    return has_weird_chars(s) | has_banned_word(lower_ascii(s)) | has_chapter_name(s, title) | ~has_letters(s) | mostly_upper(s)
 
 
 def bad_metadata_title(s) -> Column:

@@ -65,6 +65,12 @@ def counts(found: DataFrame) -> DataFrame:
     return found.groupBy(F.lower("concept").alias("lower")).agg(F.count("*").alias("count"))
 
 
+def frequency(names: DataFrame, counted: DataFrame, name: str = "concept") -> DataFrame:
+    """``names`` with count: how often each stands in all sections, whatever its case; 0 where it doesn't."""
+    by = counted.select(F.col("lower").alias("_folium_lower"), "count")
+    return names.join(by, F.lower(name) == F.col("_folium_lower"), "left").drop("_folium_lower").withColumn("count", F.coalesce("count", F.lit(0)))
+
+
 def surface_forms(found: DataFrame, order: str = "id") -> DataFrame:
     """(lower, concept): the form that was seen first, in the order in which sections were processed."""
     return found.groupBy(F.lower("concept").alias("lower")).agg(F.min_by("concept", F.struct(order, "pos")).alias("concept"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folium.functions import answers, provider
 from folium.functions import text as X
-from folium.operators.concepts import KEYS, ask
+from folium.operators.concepts import KEYS, ask, frequency
 
 SHAPE = "noisy boolean, prerequisites array<string>"
 CONTEXT_CHARS = 2000
@@ -30,7 +30,7 @@ def _asked(rows: DataFrame, make: Callable[[], provider.Provider]) -> DataFrame:
 
 def first_pass(canon: DataFrame, counts: DataFrame, make: Callable[[], provider.Provider] = provider.Offline) -> DataFrame:
     """(concept, noisy, prerequisites, error). A concept that came more than once isn't noisy; a failed request gives an empty record."""
-    known = canon.join(counts, "lower", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    known = frequency(canon, counts, "canon")
     system = F.when(F.col("count") > 1, F.lit(provider.BASICS)).otherwise(_prompt(provider.JUDGE))
     asked = known.select(F.col("canon").alias("request"), F.col("canon").alias("concept"), system.alias("system"), F.concat(F.lit("CONCEPT: "), F.col("canon")).alias("user"))
     got = _asked(asked, make).join(known.select(F.col("canon").alias("concept"), "count"), "concept")
@@ -60,8 +60,10 @@ def combine(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def assess(canon: DataFrame, counts: DataFrame, sections: DataFrame, make: Callable[[], provider.Provider] = provider.Offline) -> tuple[DataFrame, DataFrame]:
-    """(records, metrics) of both passes."""
+    """(records, metrics) of both passes. metrics, a row: concepts, errors, noisy (in the end), rechecked (no longer noisy)."""
     first = first_pass(canon, counts, make)
     second = second_pass(first.where("noisy"), canon, sections, make)
+    records = combine(first, second)
     errors = first.select("error").unionByName(second.select("error")).agg(F.count("error").alias("errors"))
-    return combine(first, second), errors
+    totals = records.agg(F.count("*").alias("concepts"), F.count_if("noisy").alias("noisy"), F.count_if("rechecked").alias("rechecked"))
+    return records, totals.join(F.broadcast(errors)).select("concepts", "errors", "noisy", "rechecked")  # a row each

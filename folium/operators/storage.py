@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 STAGES = ("sections", "concepts", "prerequisites", "edges")
 
@@ -48,11 +49,18 @@ def save_stage(df: DataFrame, root: str, stage: str, book_slug: str) -> str:
     return path
 
 
-def load_stage(spark: SparkSession, root: str, stage: str, book_slug: str, schema) -> DataFrame:
-    """A stage's table, held to a schema: missing columns and unlike types raise ValueError."""
+def load_stage(spark: SparkSession, root: str, stage: str, book_slug: str, schema, defaults: dict[str, object] | None = None) -> DataFrame:
+    """A stage's table, held to a schema: missing columns and unlike types raise ValueError.
+
+    ``defaults``: values for columns that the table lacks, or that are null in it.
+    """
     from folium.schemas import as_struct
 
     df = spark.read.parquet(stage_path(root, stage, book_slug))
+    for f in as_struct(schema):
+        if f.name in (defaults or {}):
+            value = F.lit(defaults[f.name]).cast(f.dataType)
+            df = df.withColumn(f.name, F.coalesce(f.name, value) if f.name in df.columns else value)
     have = {f.name: f.dataType for f in df.schema}
     for f in as_struct(schema):
         if have.get(f.name) != f.dataType:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folium.schemas import SECTIONS, as_struct
@@ -29,12 +28,21 @@ def merge(existing: DataFrame, incoming: DataFrame, key: list[str] = KEY, order:
     return both.select(*key, *(row[c].alias(c) for c in cols)).select(*existing.columns)
 
 
-def changed(existing: DataFrame, incoming: DataFrame, key: list[str] = KEY) -> DataFrame:
-    """Keys of ``incoming`` that are new or differ in any other column."""
+def changed(existing: DataFrame, incoming: DataFrame, key: list[str] = KEY, order: str | None = None) -> DataFrame:
+    """Keys of ``incoming`` that are new or differ in any other column, a row each time.
+
+    With ``order``, rows that share a key are written one after the other: each
+    is compared with the one before it, the first with what is there.
+    """
     cols = [c for c in existing.columns if c not in key]
     old = existing.select(*key, F.struct(*cols).alias("old"), F.lit(True).alias("there"))
-    both = incoming.select(*key, F.struct(*cols).alias("new")).join(old, key, "left")
-    return both.where(F.col("there").isNull() | ~F.col("new").eqNullSafe(F.col("old"))).select(*key)
+    new = incoming.select(*key, F.struct(*cols).alias("new"), *([F.col(order).alias("_order")] if order else []))
+    if not order:
+        both = new.join(old, key, "left")
+        return both.where(F.col("there").isNull() | ~F.col("new").eqNullSafe(F.col("old"))).select(*key)
+    before = F.lag("new").over(Window.partitionBy(*key).orderBy("_order"))  # as many rows as share a key
+    both = new.withColumn("before", before).join(old, key, "left").withColumn("old", F.coalesce("before", "old"))
+    return both.where(F.col("old").isNull() | ~F.col("new").eqNullSafe(F.col("old"))).select(*key)
 
 
 def collisions(sections: DataFrame, key: list[str] = KEY) -> DataFrame:
@@ -52,12 +60,20 @@ def long_enough(content, least: int = MIN_CHARS) -> Column:
     return F.length(F.coalesce(F.col(content), F.lit(""))) >= least
 
 
-def scan(sections: DataFrame, book: str | None = None, least: int = MIN_CHARS) -> DataFrame:
-    """Sections of a book that are long enough, with defaults for nulls, by id."""
+def _eligible(sections: DataFrame, book: str | None, least: int) -> DataFrame:
     some = sections.where(long_enough("content", least))
-    some = some.where(F.col("book_title") == book) if book is not None else some
+    return some.where(F.col("book_title") == book) if book is not None else some
+
+
+def scan(sections: DataFrame, book: str | None = None, least: int = MIN_CHARS) -> DataFrame:
+    """Sections of a book that are long enough, with defaults for nulls, sorted by id."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    return some.select(blank("id"), blank("book_title"), blank("chapter"), F.coalesce(F.col("section_index").cast("int"), F.lit(0)).alias("section_index"), blank("content"))
+    return _eligible(sections, book, least).orderBy("id").select(blank("id"), blank("book_title"), blank("chapter"), F.coalesce(F.col("section_index").cast("int"), F.lit(0)).alias("section_index"), blank("content"))
+
+
+def count(sections: DataFrame, book: str | None = None, least: int = MIN_CHARS) -> DataFrame:
+    """One row (n): how many sections ``scan`` gives, without sorting them."""
+    return _eligible(sections, book, least).agg(F.count("*").alias("n"))
 
 
 def ingest_totals(records: DataFrame, changed_keys: DataFrame) -> DataFrame:
@@ -99,17 +115,22 @@ class ParquetStore:
     def _write(self, rows: DataFrame) -> None:
         rows.withColumn("bucket", self._bucket()).write.partitionBy("bucket").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(self.path)
 
-    def upsert(self, incoming: DataFrame) -> dict[str, int]:
-        """Counts of changed and of all incoming sections and of their files."""
+    def upsert(self, incoming: DataFrame, order: str | None = None) -> dict[str, int]:
+        """Counts of changed and of all incoming sections and of their files.
+
+        Of rows that share a key the last one stays: by ``order``, or else by
+        the file's name, the section's number and the place in ``incoming``.
+        """
         from folium.operators.storage import written
 
         self.ensure_ready()
         names = as_struct(SECTIONS).names
-        incoming = written(incoming.select(*names), "incoming")
+        last = F.col(order) if order else F.struct("chapter_file", "section_index", F.monotonically_increasing_id())
+        incoming = written(incoming.select(*names, last.alias("_order")), "incoming")
         touched = [r["b"] for r in incoming.select(self._bucket().alias("b")).distinct().collect()]  # ``buckets`` at most
         old = self.read().where(F.col("bucket").isin(touched)).select(*names)
-        totals = ingest_totals(incoming, changed(old, incoming)).first().asDict()
-        self._write(written(merge(old, incoming), "merged"))
+        totals = ingest_totals(incoming, changed(old, incoming, order="_order")).first().asDict()
+        self._write(written(merge(old, incoming, order="_order"), "merged"))
         return totals
 
 
@@ -121,10 +142,6 @@ def export_texts(chapters: DataFrame, path: str) -> int:
 
 
 def export_json(segmented: DataFrame, path: str) -> None:
-    """A JSON array of sections per chapter, as one text value each."""
-    value = F.to_json("sections", {"pretty": "true"})
-    segmented.select(*[c for c in ("book", "chapter") if c in segmented.columns], value.alias("value")).write.mode("overwrite").json(path)
-
-
-def union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+    """The sections of each chapter (book, chapter, sections) as an indented JSON array in a text file, a folder for each chapter."""
+    out = segmented.select("book", "chapter", F.to_json("sections", {"pretty": "true"}).alias("value"))
+    out.write.partitionBy("book", "chapter").mode("overwrite").text(path)

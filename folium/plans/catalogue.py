@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folium.functions import answers
 from folium.functions import text as X
-from folium.operators import chapters, concepts, graph, prereqs, segment, store, toc
+from folium.operators import chapters, concepts, graph, prereqs, runs, segment, store, toc
 from folium.plans import sql as Q
 from folium.plans import stand_ins as S
 
@@ -41,9 +41,9 @@ def text_normalize(spark, sf_dir):
     return S.table(spark, sf_dir, "documents").select("doc_id", X.lower_ascii("text").alias("low"), X.trim("text").alias("trimmed"), X.collapse("text").alias("collapsed"), X.normalize("text").alias("normal"), X.has_letters("text").alias("letters"))
 
 
-@_add(select=f"SELECT doc_id, {Q.file_slug(Q.first_line('text'))} AS file_slug, {Q.slug(Q.first_line('text'))} AS slug FROM documents")
+@_add(select=f"SELECT doc_id, {Q.file_slug('text')} AS file_slug, {Q.slug('text')} AS slug FROM documents")
 def text_slug(spark, sf_dir):
-    return S.table(spark, sf_dir, "documents").select("doc_id", X.file_slug(S.first_line()).alias("file_slug"), X.slug(S.first_line()).alias("slug"))
+    return S.table(spark, sf_dir, "documents").select("doc_id", X.file_slug(F.col("text")).alias("file_slug"), X.slug(F.col("text")).alias("slug"))
 
 
 @_add(select=f"SELECT doc_id, CASE WHEN {Q.count('text', '[^A-Za-z]')} = 0 THEN 0.0::DOUBLE ELSE {Q.count('text', '[^A-Z]')}::DOUBLE / {Q.count('text', '[^A-Za-z]')} END AS ratio FROM documents")
@@ -51,9 +51,9 @@ def text_upper_ratio(spark, sf_dir):
     return S.table(spark, sf_dir, "documents").select("doc_id", X.upper_ratio("text").alias("ratio"))
 
 
-@_add(select=f"SELECT doc_id, {Q.title_case(Q.first_line('text', 200))} AS title FROM documents")
+@_add(select=f"SELECT doc_id, {Q.title_case('text')} AS title FROM documents")
 def text_title_case(spark, sf_dir):
-    return S.table(spark, sf_dir, "documents").select("doc_id", X.title_case(S.first_line(chars=200)).alias("title"))
+    return S.table(spark, sf_dir, "documents").select("doc_id", X.title_case(F.col("text")).alias("title"))
 
 
 @_add(select=f"SELECT doc_id, contains({Q.collapse('text')}, {Q.collapse('source')}) AND {Q.collapse('source')} <> '' AS has_source, replace(text, 'the', '') AS without_the, regexp_matches({Q.lower('text')}, 'license|apache') AS any_of FROM documents")
@@ -71,16 +71,21 @@ def toc_label_filter(spark, sf_dir):
     return S.file_names(spark, sf_dir).where(~X.is_toc_label("file")).select("page_id", "file")
 
 
-@_add(Q.LINES, select=f"SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, substr(line, 1, CAST(1 + doc_id % 4 AS INTEGER)) AS head FROM ln WHERE {Q.page_number('substr(line, 1, CAST(1 + doc_id % 4 AS INTEGER))')}")
+@_add(
+    Q.LINES, "wd AS (SELECT doc_id, line_no, unnest(ws) AS word, unnest(range(0, len(ws))) AS word_no FROM (SELECT doc_id, line_no, string_split(line, ' ') AS ws FROM ln))",
+    select=f"SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(word_no AS INTEGER) AS word_no, word FROM wd WHERE {Q.page_number('word')}",
+)
 def page_no_filter(spark, sf_dir):
-    cut = F.substring(F.col("line"), F.lit(1), (1 + F.col("doc_id") % 4).cast("int"))
-    return text_lines(spark, sf_dir).select("doc_id", "line_no", cut.alias("head")).where(X.page_number_like("head"))
+    """All words of all lines, each as a line of its own."""
+    words = text_lines(spark, sf_dir).select("doc_id", "line_no", F.posexplode(F.split("line", " ")).alias("word_no", "word"))
+    return words.where(X.page_number_like("word"))
 
 
-@_add(Q.LINES, select=f"SELECT ln.doc_id, CAST(line_no AS INTEGER) AS line_no, {Q.noisy('line', Q.lower(Q.collapse(Q.first_line('d.text', 12))))} AS noisy FROM ln JOIN documents d ON d.doc_id = ln.doc_id")
+@_add(Q.LINES, select=f"SELECT ln.doc_id, CAST(line_no AS INTEGER) AS line_no, {Q.noisy('line', Q.lower(Q.collapse(Q.first_line('d.text'))))} AS noisy FROM ln JOIN documents d ON d.doc_id = ln.doc_id")
 def noise_filter(spark, sf_dir):
-    docs = S.table(spark, sf_dir, "documents").select("doc_id", X.lower_ascii(X.collapse(S.first_line(chars=12))).alias("title"), F.posexplode(X.lines("text")).alias("line_no", "line"))
-    return docs.select("doc_id", "line_no", X.is_noisy("line", "title").alias("noisy"))
+    titled = segment.pinned(S.table(spark, sf_dir, "documents").select("doc_id", "text"), "title", X.lower_ascii(X.collapse(S.first_line())))
+    lines = titled.select("doc_id", "title", F.posexplode(X.lines("text")).alias("line_no", "line"))
+    return lines.select("doc_id", "line_no", X.is_noisy("line", "title").alias("noisy"))
 
 
 _INFO = "CASE WHEN page_id % 3 = 0 THEN '' WHEN page_id % 3 = 1 THEN regexp_extract(html, '<title>([^<]*)', 1) ELSE substr(regexp_extract(html, '<title>([^<]*)', 1), 1, CAST(page_id % 9 AS INTEGER)) END"
@@ -106,6 +111,15 @@ def chapter_ranges(spark, sf_dir):
     return S.chapter_table(spark, sf_dir)
 
 
+@_add(
+    Q.PAGES, Q.OUTLINE,
+    "ov AS (SELECT book, pos, title, page_index, greatest(coalesce(lead(page_index) OVER (PARTITION BY book ORDER BY pos), (SELECT count(*) FROM pg p WHERE p.book = ol.book)) - 1, page_index) AS e FROM ol)",
+    select="SELECT book, pos, '''' || title || ''': pages ' || (page_index + 1) || '-' || (e + 1) || ' (' || (e - page_index + 1) || ' pages)' AS line FROM ov",
+)
+def outline_view(spark, sf_dir):
+    return chapters.outline_view(S.outline(spark, sf_dir), S.page_totals(spark, sf_dir))
+
+
 @_add(
     Q.PAGES, Q.OUTLINE, Q.RANGES,
     select=f"SELECT rg.book, chapter_no, printf('%02d_', chapter_no) || {Q.file_slug('any_value(title)')} || '.txt' AS file, CAST(sum(length(text) + 1) AS BIGINT) AS chars, md5(string_agg(text || chr(10), '' ORDER BY pg.page_index)) AS digest "
@@ -155,14 +169,13 @@ _LOOK = (
 
 
 def _lookup(spark, sf_dir, how):
-    cut = toc.title_lookup(toc.slices(S.toc_positions(spark, sf_dir)).select("book", "file")).withColumnRenamed("file", "slice")
-    mine = toc.catalog(S.toc_chapters(spark, sf_dir).select("book", "file")).select("book", "file", X.chapter_title("file").alias("title"))
-    return mine.join(cut, ["book", "title"], how)
+    cut = toc.slices(S.toc_positions(spark, sf_dir)).select("book", "file", F.array(F.col("file")).alias("lines"))
+    return runs.with_slices(S.toc_chapters(spark, sf_dir).select("book", "file"), cut, how)
 
 
 @_add(Q.PAGES, Q.OUTLINE, Q.TOC, Q.POSITIONS, Q.SLICES, *_LOOK, select="SELECT cc.book, cc.title, file, slice FROM cc JOIN lk ON lk.book = cc.book AND lk.title = cc.title")
 def slice_lookup(spark, sf_dir):
-    return _lookup(spark, sf_dir, "inner")
+    return _lookup(spark, sf_dir, "inner").select("book", "title", "file", F.get("toc_lines", F.lit(0)).alias("slice"))
 
 
 @_add(Q.PAGES, Q.OUTLINE, Q.TOC, Q.POSITIONS, Q.SLICES, *_LOOK, select="SELECT cc.book, cc.title, file FROM cc WHERE NOT EXISTS (SELECT 1 FROM lk WHERE lk.book = cc.book AND lk.title = cc.title)")
@@ -197,6 +210,17 @@ def sections(spark, sf_dir):
     return segment.explode_sections(segment.segment(S.headed(spark, sf_dir)), "doc_id")
 
 
+@_add(
+    Q.PAGES, Q.OUTLINE, Q.RANGES, Q.TOC, Q.POSITIONS, Q.SLICES, _LOOK[0], *Q.BOOK,
+    select="SELECT book, file, chapter AS title, CAST(row_number() OVER w - 1 AS INTEGER) AS section_index, CASE WHEN intro THEN 'introduction' ELSE 'subsection' || (sum(CASE WHEN intro THEN 0 ELSE 1 END) OVER w)::BIGINT END AS name, "
+    f"CAST(startline AS INTEGER) AS startline, CAST(endline AS INTEGER) AS endline, {Q.trim('array_to_string(ls[startline + 1:endline + 1], chr(10))')} AS content FROM bg WINDOW w AS (PARTITION BY book, file ORDER BY startline)",
+)
+def book_sections(spark, sf_dir):
+    """Outline, pages and contents to sections, in one run."""
+    outline = S.outline(spark, sf_dir).select("book", "pos", "depth", "title", "page_index")
+    return runs.run_book(outline, S.page_totals(spark, sf_dir), S.pages(spark, sf_dir).select("book", "page_index", "text"), S.toc_lines(spark, sf_dir))
+
+
 @_add(select="SELECT CAST(doc_id AS VARCHAR) AS id, source AS book_title, lang AS chapter, CAST(doc_id % 20 AS INTEGER) AS section_index, text AS content FROM documents WHERE source = 'src3' AND length(coalesce(text, '')) >= 100")
 def section_scan(spark, sf_dir):
     d = S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("book_title"), F.col("lang").alias("chapter"), (F.col("doc_id") % 20).alias("section_index"), F.col("text").alias("content"))
@@ -205,32 +229,48 @@ def section_scan(spark, sf_dir):
 
 @_add(select="SELECT count(*) AS n FROM documents WHERE source = 'src3' AND length(coalesce(text, '')) >= 100")
 def section_count(spark, sf_dir):
-    return section_scan(spark, sf_dir).agg(F.count("*").alias("n"))
+    return store.count(S.table(spark, sf_dir, "documents").select(F.col("source").alias("book_title"), F.col("text").alias("content")), "src3")
 
 
-_ROW = "rw AS (SELECT source AS book_title, printf('%04d', CAST(doc_id // 20 AS INTEGER)) AS chapter, 'subsection' || (doc_id % 5) AS title, lang AS chapter_title, substr(text, 1, 50) AS content, doc_id FROM documents)"
-_OLD = "old AS (SELECT * FROM rw WHERE doc_id % 3 <> 0)"
-_NEW = "new AS (SELECT * REPLACE (CASE WHEN doc_id % 4 = 0 THEN upper(book_title) ELSE content END AS content) FROM rw WHERE doc_id % 2 = 0)"
+_OLD = "old AS (SELECT source AS book_title, printf('%04d', CAST(doc_id // 20 AS INTEGER)) AS chapter, 'subsection' || (doc_id % 20) AS title, lang AS chapter_title, text AS content, doc_id FROM documents)"
+_NEW = "new AS (SELECT * REPLACE (CASE WHEN doc_id % 3 = 0 THEN 'new ' || title ELSE title END AS title, CASE WHEN doc_id % 4 = 0 THEN content || ' revised' ELSE content END AS content) FROM old)"
 _K = "o.book_title = n.book_title AND o.chapter = n.chapter AND o.title = n.title"
 _CHANGED = f"SELECT n.book_title, n.chapter, n.title FROM new n LEFT JOIN old o ON {_K} WHERE o.title IS NULL OR o.content IS DISTINCT FROM n.content OR o.chapter_title IS DISTINCT FROM n.chapter_title"
 
 
-@_add(_ROW, _OLD, _NEW, select=f"SELECT coalesce(n.book_title, o.book_title) AS book_title, coalesce(n.chapter, o.chapter) AS chapter, coalesce(n.title, o.title) AS title, CASE WHEN n.title IS NULL THEN o.chapter_title ELSE n.chapter_title END AS chapter_title, CASE WHEN n.title IS NULL THEN o.content ELSE n.content END AS content FROM old o FULL JOIN new n ON {_K}")
+@_add(_OLD, _NEW, select=f"SELECT coalesce(n.book_title, o.book_title) AS book_title, coalesce(n.chapter, o.chapter) AS chapter, coalesce(n.title, o.title) AS title, CASE WHEN n.title IS NULL THEN o.chapter_title ELSE n.chapter_title END AS chapter_title, CASE WHEN n.title IS NULL THEN o.content ELSE n.content END AS content FROM old o FULL JOIN new n ON {_K}")
 def upsert_merge(spark, sf_dir):
     return store.merge(*S.stored(spark, sf_dir))
 
 
-@_add(_ROW, _OLD, _NEW, select=_CHANGED)
+@_add(_OLD, _NEW, select=_CHANGED)
 def upsert_changed(spark, sf_dir):
     return store.changed(*S.stored(spark, sf_dir))
 
 
-@_add(_ROW, _OLD, _NEW, select=f"SELECT (SELECT count(*) FROM ({_CHANGED})) AS sections_changed, (SELECT count(*) FROM new) AS sections_total, (SELECT count(DISTINCT chapter) FROM new) AS files")
+@_add(_OLD, _NEW, select=f"SELECT (SELECT count(*) FROM ({_CHANGED})) AS sections_changed, (SELECT count(*) FROM new) AS sections_total, (SELECT count(DISTINCT chapter) FROM new) AS files")
 def ingest_totals(spark, sf_dir):
     old, new = S.stored(spark, sf_dir)
     return store.ingest_totals(new.withColumn("chapter_file", F.col("chapter")), store.changed(old, new))
 
 
+_VERSIONS = "vs AS (SELECT source AS book_title, lang AS chapter, 's' || (n_chars % 7) AS title, text AS content, doc_id AS version FROM documents)"
+
+
+@_add(_VERSIONS, select="SELECT book_title, chapter, title, arg_max(content, version) AS content FROM vs GROUP BY 1, 2, 3")
+def upsert_last_wins(spark, sf_dir):
+    """Of sections that share a key the last one written stays."""
+    v = S.versions(spark, sf_dir)
+    return store.merge(v.drop("version").limit(0), v, order="version")
+
+
+@_add(_VERSIONS, select="SELECT book_title, chapter, title FROM (SELECT *, lag(content) OVER w AS before, row_number() OVER w AS n FROM vs WINDOW w AS (PARTITION BY book_title, chapter, title ORDER BY version)) WHERE n = 1 OR content IS DISTINCT FROM before")
+def upsert_changed_in_order(spark, sf_dir):
+    """Writes that change something, when sections that share a key are written one after the other."""
+    v = S.versions(spark, sf_dir)
+    return store.changed(v.drop("version").limit(0), v, order="version")
+
+
 @_add(select="SELECT source AS book_title, lang AS chapter, CAST(n_chars % 7 AS INTEGER) AS section_index, count(*) AS n FROM documents GROUP BY 1, 2, 3 HAVING count(*) > 1")
 def key_collision(spark, sf_dir):
     d = S.table(spark, sf_dir, "documents").select(F.col("source").alias("book_title"), F.col("lang").alias("chapter"), (F.col("n_chars") % 7).cast("int").alias("section_index"))
@@ -268,6 +308,20 @@ def concept_counts(spark, sf_dir):
     return concepts.counts(concept_extract(spark, sf_dir))
 
 
+@_add(*_C, select="SELECT n_name AS concept, coalesce((SELECT count(*) FROM fd WHERE fd.lower = lower(n_name)), 0) AS \"count\" FROM nation UNION ALL SELECT concept, n FROM (SELECT DISTINCT concept, lower FROM fd) f JOIN cn ON cn.lower = f.lower")
+def concept_frequency(spark, sf_dir):
+    """Of all surface forms, and of names that may stand nowhere."""
+    found = concept_extract(spark, sf_dir)
+    names = S.table(spark, sf_dir, "nation").select(F.col("n_name").alias("concept")).unionByName(found.select("concept").distinct())
+    return concepts.frequency(names, concepts.counts(found))
+
+
+@_add(*_C, Q.PASSES, select="SELECT count(*) AS concepts, CAST(0 AS BIGINT) AS errors, count(*) FILTER (noisy) AS noisy, count(*) FILTER (rechecked) AS rechecked FROM pf")
+def prereq_metrics(spark, sf_dir):
+    s, canon, counts = _passes(spark, sf_dir)
+    return prereqs.assess(canon, counts, s)[1]
+
+
 @_add(*_C, select="SELECT lower, arg_min(concept, (doc_id, pos)) AS concept FROM fd GROUP BY lower")
 def concept_unique(spark, sf_dir):
     return concepts.surface_forms(concept_extract(spark, sf_dir))

@@ -39,8 +39,8 @@ def lines(x: str) -> str:
     return f"CASE WHEN {x} = '' OR suffix({x}, chr(10)) THEN string_split({x}, chr(10))[:-2] ELSE string_split({x}, chr(10)) END"
 
 
-def first_line(x: str, chars: int = 40) -> str:
-    return f"substr(split_part({x}, chr(10), 1), 1, {chars})"
+def first_line(x: str) -> str:
+    return f"split_part({x}, chr(10), 1)"
 
 
 def without_the(x: str) -> str:
@@ -110,8 +110,7 @@ RANGES = (
 )
 LINES = f"ln AS (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS line_no FROM (SELECT doc_id, {lines('text')} AS ls FROM documents))"
 HEADS = (
-    "hd AS (SELECT ln.doc_id, CAST(line_no // 7 AS INTEGER) AS toc, "
-    f"substr({trim('line')}, 1, 30) AS line FROM ln WHERE line_no % 7 = 3), "
+    f"hd AS (SELECT ln.doc_id, CAST(line_no AS INTEGER) AS toc, {trim('line')} AS line FROM ln), "
     f"nd AS (SELECT hd.doc_id, toc, {collapse(without_the('line'))} AS needle FROM hd JOIN documents d ON d.doc_id = hd.doc_id "
     f"WHERE NOT {noisy('line', lower(collapse(first_line('d.text'))))}), "
     f"mt AS (SELECT nd.doc_id, toc, CAST(min(line_no) AS INTEGER) AS line FROM nd JOIN ln ON ln.doc_id = nd.doc_id AND needle <> '' AND contains({collapse('ln.line')}, needle) GROUP BY nd.doc_id, toc)"
@@ -121,9 +120,9 @@ STARTS = (
     "SELECT st.doc_id, min(mt.line) FROM st JOIN mt ON mt.doc_id = st.doc_id AND mt.line >= st.line + 5 GROUP BY st.doc_id, st.line)"
 )
 TOC = (
-    # A book's contents: up to seven first lines of each labelled document, in document order.
+    # A book's contents: all lines of its labelled documents, in document order.
     f"tl AS (SELECT book, CAST(row_number() OVER (PARTITION BY book ORDER BY doc_id, i) - 1 AS INTEGER) AS line_no, line FROM "
-    f"(SELECT book, doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS i FROM (SELECT book, doc_id, list_transform(({lines('text')})[1:7], lambda x: substr(x, 1, 40)) AS ls FROM ol))), "
+    f"(SELECT book, doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS i FROM (SELECT book, doc_id, ({lines('text')}) AS ls FROM ol))), "
     f"ch AS (SELECT book, doc_id, text, printf('%02d_', CAST(row_number() OVER (PARTITION BY book ORDER BY doc_id) AS INTEGER)) || {file_slug('title')} || '.txt' AS file, {normalize('title')} AS key FROM ol), "
     "ky AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY file, key) AS k, CASE WHEN starts_with(key, 'the') THEN substr(key, 4) ELSE key END AS key2 FROM ch), "
     f"tn AS (SELECT book, line_no, {normalize('line')} AS norm FROM tl)"
@@ -139,6 +138,19 @@ SLICES = (
     'sl AS (SELECT * FROM (SELECT y.book, y.file, p.pos AS "start", lead(p.pos) OVER (PARTITION BY y.book ORDER BY y.file, y.key) AS "end" FROM ky y JOIN ps p ON p.book = y.book AND p.k = y.k) '
     'WHERE "start" >= 0 AND "end" - "start" >= 5)'
 )
+BOOK = (
+    # Whole runs: chapters' texts, the lines of each chapter's slice, first matches, starts, bounds.
+    f"bk AS (SELECT book, file, {chapter_title('file')} AS chapter, {lines('text')} AS ls FROM (SELECT rg.book, printf('%02d_', chapter_no) || {file_slug('any_value(title)')} || '.txt' AS file, string_agg(text || chr(10), '' ORDER BY pg.page_index) AS text "
+    f"FROM rg JOIN pg ON pg.book = rg.book AND pg.page_index + 1 BETWEEN page_start AND page_end GROUP BY rg.book, chapter_no) WHERE NOT {toc_label('file')})",
+    "bl AS (SELECT book, file, unnest(ls) AS line, unnest(range(0, len(ls))) AS line_no FROM bk)",
+    f"bn AS (SELECT bk.book, bk.file, {collapse(without_the(trim('tl.line')))} AS needle FROM bk JOIN lk ON lk.book = bk.book AND lk.title = bk.chapter JOIN sl ON sl.book = lk.book AND sl.file = lk.slice "
+    f'JOIN tl ON tl.book = sl.book AND tl.line_no >= sl."start" AND tl.line_no < sl."end" WHERE {trim("tl.line")} <> \'\' AND NOT {page_number(trim("tl.line"))} AND NOT {noisy(trim("tl.line"), "bk.chapter")})',
+    f"bm AS (SELECT bn.book, bn.file, needle, CAST(min(line_no) AS INTEGER) AS line FROM bn JOIN bl ON bl.book = bn.book AND bl.file = bn.file AND needle <> '' AND contains({collapse('bl.line')}, needle) GROUP BY 1, 2, 3)",
+    "bs AS (SELECT book, file, min(line) AS line FROM bm GROUP BY 1, 2 UNION ALL SELECT bs.book, bs.file, min(bm.line) FROM bs JOIN bm ON bm.book = bs.book AND bm.file = bs.file AND bm.line >= bs.line + 5 GROUP BY bs.book, bs.file, bs.line)",
+    "bt AS (SELECT bk.*, CAST(len(ls) AS INTEGER) AS total FROM bk JOIN lk ON lk.book = bk.book AND lk.title = bk.chapter)",
+    "bg AS (SELECT book, file, chapter, ls, 0 AS startline, coalesce((SELECT min(line) FROM bs WHERE bs.book = bt.book AND bs.file = bt.file), total) - 1 AS endline, true AS intro FROM bt WHERE coalesce((SELECT min(line) FROM bs WHERE bs.book = bt.book AND bs.file = bt.file), -1) <> 0 "
+    "UNION ALL SELECT bs.book, bs.file, chapter, ls, line, coalesce(lead(line) OVER (PARTITION BY bs.book, bs.file ORDER BY line), total) - 1, false FROM bs JOIN bt ON bt.book = bs.book AND bt.file = bs.file)",
+)
 SECTIONS = "sc AS (SELECT doc_id, book, printf('%04d', CAST(page_index // 10 AS INTEGER)) AS chapter, CAST(page_index % 10 AS INTEGER) AS section_index, text AS content FROM pg)"
 FOUND = (
     "rw AS (SELECT doc_id, book, chapter, section_index, unnest(cs) AS c, unnest(range(0, len(cs))) AS o FROM (SELECT *, regexp_extract_all(content, '[A-Za-z]{9,}') AS cs FROM sc WHERE length(content) >= 100)), "

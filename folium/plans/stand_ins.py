@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folium.functions import text as X
@@ -13,8 +13,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def first_line(text: str = "text", chars: int = 40):
-    return F.substring(F.split_part(F.col(text), F.lit("\n"), F.lit(1)), 1, chars)
+def first_line(text: str = "text"):
+    return F.split_part(F.col(text), F.lit("\n"), F.lit(1))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,9 +30,13 @@ def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("book", F.col("page_index").alias("pos"), F.lit(0).alias("depth"), first_line().alias("title"), "page_index", "doc_id", "text")
 
 
+def page_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """book, pages."""
+    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("book")).agg(F.count("*").alias("pages"))
+
+
 def chapter_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("book")).agg(F.count("*").alias("pages"))
-    ranged = chapters.page_ranges(outline(spark, sf_dir).select("book", "pos", "title", "page_index"), totals)
+    ranged = chapters.page_ranges(outline(spark, sf_dir).select("book", "pos", "title", "page_index"), page_totals(spark, sf_dir))
     return ranged.withColumns({c: F.col(c).cast("int") for c in ("page_start", "page_end", "page_count")})
 
 
@@ -45,16 +49,16 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """book, line_no, line: up to seven first lines of each labelled document, in document order."""
-    each = outline(spark, sf_dir).select("book", "doc_id", F.posexplode(F.slice(X.lines("text"), 1, 7)).alias("i", "line"))
-    at = F.row_number().over(Window.partitionBy("book").orderBy("doc_id", "i")) - 1
-    return each.select("book", at.alias("line_no"), F.substring("line", 1, 40).alias("line"))
+    """book, line_no, line: all lines of the labelled documents of a book, in document order, serve as its table of contents."""
+    each = outline(spark, sf_dir).select("book", "doc_id", F.posexplode(X.lines("text")).alias("i", "line"))
+    placed = each.select("book", "line", (F.col("doc_id") * (1 << 24) + F.col("i")).alias("at"))
+    return graph.ranks(placed, "at", "line_no", ("book",), span=1 << 44).select("book", F.col("line_no").cast("int").alias("line_no"), "line")
 
 
 def toc_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """book, file, key, doc_id, text of labelled documents."""
-    number = F.row_number().over(Window.partitionBy("book").orderBy("doc_id"))
-    return outline(spark, sf_dir).select("book", "doc_id", "text", chapters.file_name(number, F.col("title")).alias("file"), X.normalize("title").alias("key"))
+    placed = graph.ranks(outline(spark, sf_dir).drop("pos", "depth", "page_index"), "doc_id", "number", ("book",))
+    return placed.select("book", "doc_id", "text", chapters.file_name((F.col("number") + 1).cast("int"), F.col("title")).alias("file"), X.normalize("title").alias("key"))
 
 
 def toc_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +66,8 @@ def toc_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def headed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, title, toc_lines, text: every seventh line's beginning serves as a heading."""
-    parts = F.transform(F.filter(X.lines("text"), lambda s, i: i % 7 == 3), lambda s: F.substring(X.trim(s), 1, 30))
+    """doc_id, title, toc_lines, text: every line serves as a heading too."""
+    parts = F.transform(X.lines("text"), X.trim)
     return table(spark, sf_dir, "documents").select("doc_id", X.lower_ascii(X.collapse(first_line())).alias("title"), parts.alias("toc_lines"), "text")
 
 
@@ -77,14 +81,21 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two versions of a small section store: what is there, and what comes in."""
-    row = table(spark, sf_dir, "documents").select(
+    """Two versions of a section store: what is there, and what comes in. A third has new titles, a quarter another content."""
+    old = table(spark, sf_dir, "documents").select(
         F.col("source").alias("book_title"), F.format_string("%04d", F.floor(F.col("doc_id") / 20).cast("int")).alias("chapter"),
-        F.concat(F.lit("subsection"), (F.col("doc_id") % 5).cast("string")).alias("title"), F.col("lang").alias("chapter_title"), F.substring("text", 1, 50).alias("content"), "doc_id",
+        F.concat(F.lit("subsection"), (F.col("doc_id") % 20).cast("string")).alias("title"), F.col("lang").alias("chapter_title"), F.col("text").alias("content"), "doc_id",
+    )
+    title = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("new "), "title")).otherwise(F.col("title"))
+    content = F.when(F.col("doc_id") % 4 == 0, F.concat("content", F.lit(" revised"))).otherwise(F.col("content"))
+    return old.drop("doc_id"), old.withColumns({"title": title, "content": content}).drop("doc_id")
+
+
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections by language and size, of which many share a key, with version (the order in which they are written)."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("source").alias("book_title"), F.col("lang").alias("chapter"), F.concat(F.lit("s"), (F.col("n_chars") % 7).cast("string")).alias("title"), F.col("text").alias("content"), F.col("doc_id").alias("version"),
     )
-    old = row.where("doc_id % 3 <> 0")
-    new = row.where("doc_id % 2 = 0").withColumn("content", F.when(F.col("doc_id") % 4 == 0, F.upper("book_title")).otherwise(F.col("content")))
-    return old.drop("doc_id"), new.drop("doc_id")
 
 
 def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

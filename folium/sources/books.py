@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folium.functions import text as X
+
 METADATA = ("info:Title", "title", "Title")
 
 
@@ -93,14 +95,35 @@ def scan_pages(files: DataFrame, make: Callable[[], Backend]) -> DataFrame:
     return _each(files, make, "book string, page_index int, text string", rows, [pa.string(), pa.int32(), pa.string()])
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at a path that Spark can read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def list_files(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
+    """(file, length) of the files of a folder, sorted by file; a folder that is missing has none."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "file string, length long")
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select(F.col("path").alias("file"), "length").orderBy("file")
+
+
 def text_files(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
-    """(file, text) of text files, whole."""
-    read = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path)
+    """(file, text) of text files, whole; none if the folder is missing."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "file string, text string")
+    read = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
     return read.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
+def contents_lines(spark: SparkSession, path: str, book: str) -> DataFrame:
+    """toc_lines(book, line_no, line) of a file with a table of contents: its lines, trimmed, empty ones included. A missing file has none."""
+    lines = text_files(spark, path, "*").select(F.posexplode(X.lines("text")).alias("line_no", "line"))
+    return lines.select(F.lit(book).alias("book"), "line_no", X.trim("line").alias("line"))
+
+
 def chapter_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(sections, skipped): items of JSON arrays by file and place, and the files that hold none."""
+    """(sections, skipped): items of JSON arrays by file and place, and the files that hold none. What follows an array in its file is passed over."""
     item = "array<struct<content string, endline int, startline int, title string>>"
     read = text_files(spark, path, "*.json").withColumn("items", F.from_json("text", item))
     good = F.col("items").isNotNull() & F.ltrim("text").startswith("[")

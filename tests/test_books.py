@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from folium.operators import chapters, segment, toc
+from folium.operators import chapters, runs, segment, toc
 from folium.sources import books
 
 
@@ -109,9 +109,45 @@ def test_book_source(spark, tmp_path):
 
 
 def test_json_source(spark, tmp_path):
-    (tmp_path / "a.json").write_text('[{"title": "t", "startline": 1}, {"content": "c", "endline": 2}]')
+    (tmp_path / "a.json").write_text('[\n  {"title": "t", "startline": 1},\n  {"content": "c", "endline": 2}\n]\n')
     (tmp_path / "b.json").write_text('{"title": "t"}')
     found, skipped = books.chapter_json(spark, str(tmp_path))
     assert [tuple(r)[1:] for r in found.orderBy("section_index").collect()] == [(0, "t", 1, 0, ""), (1, "", 0, 2, "c")]
     assert skipped.count() == 1
     assert books.text_files(spark, str(tmp_path), "*.json").count() == 2
+
+
+def test_folders(spark, tmp_path):
+    for name in ("b.txt", "a.txt", "10.txt", "9.txt", "c.json"):
+        (tmp_path / name).write_text(f" {name} \n\nlast")
+    assert [r.file.rsplit("/", 1)[1] for r in books.list_files(spark, str(tmp_path)).collect()] == ["10.txt", "9.txt", "a.txt", "b.txt"]
+    assert books.list_files(spark, str(tmp_path / "none")).count() == 0 and books.text_files(spark, str(tmp_path / "none")).count() == 0
+    assert [tuple(r) for r in books.contents_lines(spark, str(tmp_path / "a.txt"), "B").orderBy("line_no").collect()] == [("B", 0, "a.txt"), ("B", 1, ""), ("B", 2, "last")]
+    assert books.contents_lines(spark, str(tmp_path / "none.txt"), "B").count() == 0
+
+
+def test_catalog_is_sorted(spark):
+    files = spark.createDataFrame([("b", f) for f in ("11_B.txt", "100_C.txt", "02_A.txt", "01_Table_of_Contents.txt", "x.pdf")] + [("a", "09_Z.txt")], "book string, file string").repartition(3)
+    assert [(r.book, r.file) for r in toc.catalog(files).collect()] == [("a", "09_Z.txt"), ("b", "02_A.txt"), ("b", "100_C.txt"), ("b", "11_B.txt")]
+
+
+def test_outline_view(spark):
+    outline = spark.createDataFrame([("b", 0, "Intro", 0), ("b", 1, "A", 5), ("b", 2, "B", 5), ("b", 3, "C", 9)], "book string, pos int, title string, page_index int")
+    got = [r.line for r in chapters.outline_view(outline, spark.createDataFrame([("b", 12)], "book string, pages int")).orderBy("pos").collect()]
+    assert got == ["'Intro': pages 1-5 (5 pages)", "'A': pages 6-6 (1 pages)", "'B': pages 6-9 (4 pages)", "'C': pages 10-12 (3 pages)"]
+
+
+def test_run_book(spark, tmp_path):
+    outline = spark.createDataFrame([("b", 0, 0, "Start", 0), ("b", 1, 0, "End", 1), ("b", 2, 0, "Index", 2)], "book string, pos int, depth int, title string, page_index int")
+    totals = spark.createDataFrame([("b", 3), ("none", 9)], "book string, pages int")
+    pages = spark.createDataFrame([("b", 0, "Start\nwords\nThe Alpha part\n1\n2\n3\n4\nBeta part\nlast"), ("b", 1, "End"), ("b", 2, "Index")], "book string, page_index int, text string")
+    contents = ["start", "The Alpha part", "12", "Beta part", "", "more", "end", "a", "b", "c", "d", "index"]
+    lines = spark.createDataFrame([("b", i, x) for i, x in enumerate(contents)], "book string, line_no int, line string")
+    texts = runs.extract_chapters(outline, totals, pages)
+    cut = runs.slice_contents(texts, lines)
+    assert [(r.file, r.start, r.end, r.lines) for r in cut.orderBy("file").collect()] == [("01_Start.txt", 0, 6, ["start", "The Alpha part", "Beta part", "more"]), ("02_End.txt", 6, 11, ["end", "a", "b"])]
+    got = [(r.file, r.section_index, r.name, r.startline, r.endline) for r in runs.run_book(outline, totals, pages, lines).orderBy("file", "section_index").collect()]
+    assert got == [("01_Start.txt", 0, "introduction", 0, 1), ("01_Start.txt", 1, "subsection1", 2, 6), ("01_Start.txt", 2, "subsection2", 7, 8), ("02_End.txt", 0, "introduction", 0, 0)]
+    assert [r.file for r in runs.with_slices(texts.select("book", "file"), cut, "left_anti").collect()] == ["03_Index.txt"]
+    assert runs.run_book(outline.limit(0), totals, pages, lines).count() == 0
+    assert toc.write_slices(cut, str(tmp_path / "slices")) == 2

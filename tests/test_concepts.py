@@ -10,7 +10,7 @@ from folium.operators import concepts, prereqs
 
 def test_answers():
     assert answers.parse('pre {"a":{"b":1}} post') == {"a": {"b": 1}}
-    assert answers.parse("{'a':1}") == {} and answers.parse("no json") == {} and answers.parse("[1]") == [1]
+    assert answers.parse("{'a':1}") == {} and answers.parse("no json") == {} and answers.parse("[1]") == [1] and answers.parse('a } b { c') == {} and answers.parse("") == {}
     assert answers.as_strings([1, None, True, " a ", ""]) == ["1", "None", "True", "a"]
     assert answers.as_strings(None) == [] and answers.as_strings("x") == ["x"]
     assert answers.distinct([" Observer ", "observer", "", "Encapsulation", None]) == ["Observer", "Encapsulation"]
@@ -62,7 +62,9 @@ def test_two_passes(spark):
     got = {r.concept: (r.noisy, r.prerequisites, r.rechecked) for r in records.collect()}
     assert got["Often"] == (False, ["p"], False) and got["Once"][0] is False and got["Once"][2] is True
     assert got["Blank"] == (True, ["p"], False) and got["broken"] == (False, [], False)
-    assert errors.first().errors == 1
+    assert errors.first().asDict() == {"concepts": 4, "errors": 1, "noisy": 1, "rechecked": 1}
+    names = spark.createDataFrame([("Often",), ("OFTEN",), ("none",)], "concept string")
+    assert sorted((r.concept, r["count"]) for r in concepts.frequency(names, counts).collect()) == [("OFTEN", 2), ("Often", 2), ("none", 0)]
 
 
 def test_http_retries():
@@ -85,4 +87,8 @@ def test_http_retries():
         provider.Http("h", "m", send=refuse, sleep=naps.append).generate("s", "u")
     broken = provider.Http("h", "m", send=lambda *a: (_ for _ in ()).throw(ValueError()), sleep=naps.append)
     assert broken.generate("s", "u") == {} and broken.models() == [] and broken.ping() is False
-    assert provider.Params(stop=("x",), advanced={"seed": 1, "other": 2, "top_p": None}).options() == {"temperature": 0.0, "num_predict": 400, "stop": ["x", "<think>", "</think>"], "seed": 1}
+    assert provider.Params(stop=("x",), seed=1, other=2, top_p=None).options == {"temperature": 0.0, "num_predict": 400, "stop": ["x", "<think>", "</think>"], "seed": 1}
+    assert provider.Params(thinking=True, temperature=0.5).options == {"temperature": 0.5, "num_predict": 400, "stop": []}
+    h.set_model("other")
+    sent = h.payload("s", "u", provider.Params(stream=True))
+    assert (sent["model"], sent["format"], sent["stream"], sent["keep_alive"], sent["options"]["num_predict"]) == ("other", "json", True, "10m", 400)
