@@ -5,8 +5,10 @@ blocks by a hash of its rows; sizes are summed by block, and that table, whose
 length is ``shards * blocks`` whatever the input, goes to the driver. There a
 minimum-cost flow from old shards (supply: bytes) to new ones (capacity: bytes)
 with a cost for each byte that leaves its shard says how many bytes have to go
-from where to where; whole blocks carry them out. A document's place follows
-from its block, so neither texts nor keys are moved to decide it.
+from where to where; whole blocks carry them out, and the files of the shards
+that they leave or enter are rewritten. A document's place follows from its
+block, so neither texts nor keys are moved to decide it. Equal texts share a
+block and stay together, but for groups too large for near equal shards.
 """
 
 from __future__ import annotations
@@ -15,10 +17,12 @@ from collections import deque
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from folium.llm.common import schema, table, text_or_empty
+from folium.llm.common import Scratch, schema, table, text_or_empty
 
 SHARDS, BLOCKS = 16, 4096
+LIGHT = ("_folium_size", "_folium_crc", "_folium_old", "_folium_block")
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -109,15 +113,28 @@ def plan_blocks(blocks: list[tuple[int, int, int, int]], shards: int) -> dict[tu
     return to
 
 
-def with_blocks(docs: DataFrame, old_shard, key: str = "doc_id", text: str = "text", blocks: int = BLOCKS) -> DataFrame:
-    """The documents with _folium_size, _folium_crc, _folium_old and _folium_block."""
+def large_groups(docs: DataFrame, shards: int = SHARDS, text: str = "text") -> list[int]:
+    """CRC-32 of the texts whose copies have more than a sixteenth of a new shard's bytes together: 16 * ``shards`` at most."""
+    whole = text_or_empty(text)
+    groups = docs.select(F.crc32(whole.cast("binary")).alias("crc"), (F.octet_length(whole) + 1).cast("long").alias("size")).groupBy("crc", "size").agg(F.sum("size").alias("n"))
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    return sorted({r["crc"] for r in groups.where(F.col("n") > total // (16 * shards)).select("crc").collect()})
+
+
+def with_blocks(docs: DataFrame, old_shard, large: list[int] = (), key: str = "doc_id", text: str = "text", blocks: int = BLOCKS) -> DataFrame:
+    """The documents with _folium_size, _folium_crc, _folium_old and _folium_block.
+
+    Equal texts of an old shard share a block, so they stay together, unless
+    they are a large group: such a group is dealt by key.
+    """
     whole = text_or_empty(text)
     placed = docs.withColumns({"_folium_size": (F.octet_length(whole) + 1).cast("long"), "_folium_crc": F.crc32(whole.cast("binary")), "_folium_old": old_shard.cast("int")})
-    return placed.withColumn("_folium_block", F.pmod(F.xxhash64(key, "_folium_crc"), F.lit(blocks)).cast("int"))
+    apart = F.when(F.col("_folium_crc").isin(list(large)), F.xxhash64(key)) if large else F.lit(None).cast("long")
+    return placed.withColumn("_folium_block", F.pmod(F.xxhash64("_folium_crc", "_folium_size", apart), F.lit(blocks)).cast("int"))
 
 
 def plan(placed: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """One row per block: _folium_old, _folium_block, shard, first (the slot of its first row)."""
+    """One row per block: _folium_old, _folium_block, _folium_new (its shard), _folium_first (the slot of its first row)."""
     sums = placed.groupBy("_folium_old", "_folium_block").agg(F.sum("_folium_size").alias("size"), F.count("*").alias("rows"))
     blocks = sorted((r["_folium_old"], r["_folium_block"], r["size"], r["rows"]) for r in sums.collect())  # shards * blocks rows at most
     to, used, rows = plan_blocks(blocks, shards), [0] * shards, []
@@ -125,7 +142,7 @@ def plan(placed: DataFrame, shards: int = SHARDS) -> DataFrame:
         new = to[old, block]
         rows.append((old, block, new, used[new]))
         used[new] += n
-    return placed.sparkSession.createDataFrame(rows, schema("_folium_old int, _folium_block int, shard int, first long"))
+    return placed.sparkSession.createDataFrame(rows, schema("_folium_old int, _folium_block int, _folium_new int, _folium_first long"))
 
 
 def reshard(docs: DataFrame, old_shard, shards: int = SHARDS, blocks: int = BLOCKS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -135,31 +152,58 @@ def reshard(docs: DataFrame, old_shard, shards: int = SHARDS, blocks: int = BLOC
     with equal keys keep a slot each; null keys come first in their block. An
     empty table gives no rows.
     """
-    light = with_blocks(docs, old_shard, key, text, blocks).select(key, "_folium_size", "_folium_crc", "_folium_old", "_folium_block")
+    light = with_blocks(docs, old_shard, large_groups(docs, shards, text), key, text, blocks).select(key, *LIGHT)
+    return _slots(light, plan(light, shards), key)
+
+
+def _slots(light: DataFrame, moves: DataFrame, key: str) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("_folium_old", "_folium_block").orderBy(key, "_folium_crc", "_folium_size")) - 1
     # The plan has shards * blocks rows at most, so it may be broadcast.
-    out = light.join(F.broadcast(plan(light, shards)), ["_folium_old", "_folium_block"])
+    out = light.withColumn("_folium_nth", nth).join(F.broadcast(moves), ["_folium_old", "_folium_block"])
     return out.select(
-        key, F.col("_folium_size").alias("size"), F.col("_folium_crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
-        (F.col("first") + nth).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("_folium_old").alias("old_shard"),
+        key, F.col("_folium_size").alias("size"), F.col("_folium_crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("_folium_new").alias("shard"),
+        (F.col("_folium_first") + F.col("_folium_nth")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("_folium_old").alias("old_shard"),
     )
 
 
-def rewrite(docs: DataFrame, old_shard, root: str, shards: int = SHARDS, blocks: int = BLOCKS, key: str = "doc_id", text: str = "text", files: int = 8) -> list[int]:
-    """Write the affected shards anew under ``root``/shard=N and leave the others as they are. Returns the affected ones."""
-    placed = with_blocks(docs, old_shard, key, text, blocks)
+def rewrite(docs: DataFrame, old_shard, root: str, shards: int = SHARDS, blocks: int = BLOCKS, key: str = "doc_id", text: str = "text", folder: str = "shard") -> tuple[list[int], DataFrame, list[int]]:
+    """Writes the affected shards anew under ``root``/``folder``=N and leaves the others as they are.
+
+    A shard that no document is left in loses its files. Every task writes what
+    it reads to the files of its shards, so no text is shuffled. Returns the
+    affected shards, the plan and the large groups.
+    """
+    spark, large = docs.sparkSession, large_groups(docs, shards, text)
+    placed = with_blocks(docs, old_shard, large, key, text, blocks)
     moves = plan(placed, shards)
-    changed = sorted({x for r in moves.where("_folium_old <> shard").select("_folium_old", "shard").distinct().collect() for x in r})
-    moved = placed.join(F.broadcast(moves), ["_folium_old", "_folium_block"]).where(F.col("shard").isin(changed))
-    out = moved.repartition(max(1, len(changed)) * files, "shard", F.pmod("_folium_block", F.lit(files)))
-    out.select(*docs.columns, "shard").write.partitionBy("shard").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(root)
-    return changed
+    changed = sorted({x for r in moves.where("_folium_old <> _folium_new").select("_folium_old", "_folium_new").distinct().collect() for x in r})
+    moved = placed.join(F.broadcast(moves), ["_folium_old", "_folium_block"]).where(F.col("_folium_new").isin(changed))
+    moved.select(*docs.columns, F.col("_folium_new").alias(folder)).write.partitionBy(folder).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(root)
+    filled = {r[0] for r in moves.select("_folium_new").distinct().collect()}
+    for empty in set(changed) - filled:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{folder}={empty}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return changed, moves, large
+
+
+def carry_out(docs: DataFrame, old_shard, shards: int = SHARDS, blocks: int = BLOCKS, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """What ``reshard`` returns, told from the files: affected shards are rewritten and read back, the others stay where they are."""
+    root = f"{(scratch or Scratch(docs.sparkSession, 'shards')).root}/shards"
+    changed, moves, large = rewrite(docs, old_shard, root, shards, blocks, key, text, "_folium_at")
+    light = with_blocks(docs, old_shard, large, key, text, blocks).select(key, *LIGHT)
+    if not changed:
+        return _slots(light, moves, key)
+    spec = T.StructType([*docs.schema.fields, T.StructField("_folium_at", T.IntegerType())])
+    back = with_blocks(docs.sparkSession.read.schema(spec).parquet(root), old_shard, large, key, text, blocks)
+    # Its files say where a row is; the plan says its block's place there.
+    found = back.select(key, *LIGHT).unionByName(light.where(~F.col("_folium_old").isin(changed)))
+    return _slots(found, moves, key)
 
 
 def op5_min_cost_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Old layout: by source, so that a hot source makes an old shard large."""
-    source = F.crc32(text_or_empty("source").cast("binary"))
-    return reshard(table(spark, sf_dir, "documents"), F.pmod(source, F.lit(SHARDS)))
+    """Old layout: by text, the first half of the shards twice as large as the second. Affected shards are rewritten and read back."""
+    at = F.crc32(text_or_empty().cast("binary")) % (SHARDS * 3 // 2)
+    return carry_out(table(spark, sf_dir, "documents"), F.when(at < SHARDS, at).otherwise(at - SHARDS))
 
 
 QUERIES = {"op5_min_cost_flow_resharding": op5_min_cost_flow_resharding}

@@ -62,10 +62,50 @@ def test_hot_shard_is_levelled_with_few_moves(spark):
 def test_rewrite(spark, tmp_path):
     root = str(tmp_path / "shards")
     df = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit(7).alias("_size"))
-    old = (F.col("doc_id") % 4).cast("int")
-    even = sharding.rewrite(df, old, root, 4, files=2)
+    even, *_ = sharding.rewrite(df, (F.col("doc_id") % 4).cast("int"), root, 4)
     hot = F.when(F.col("doc_id") < 300, F.lit(0)).otherwise((F.col("doc_id") % 4).cast("int"))
-    assert sharding.rewrite(df, hot, root, 4, files=2) == [0, 1, 2, 3]
+    assert sharding.rewrite(df, hot, root, 4)[0] == [0, 1, 2, 3]
     back = spark.read.parquet(root)
     assert back.count() == 400 and back.agg(F.sum("_size")).first()[0] == 2800
     assert len(even) <= 4
+
+
+def test_an_emptied_shard_loses_its_files(spark, tmp_path):
+    root = str(tmp_path / "shards")
+    many = spark.range(8).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    many.withColumn("shard", (F.col("doc_id") % 4).cast("int")).write.partitionBy("shard").parquet(root)
+    one = spark.createDataFrame([(1, "")], "doc_id long, text string")
+    sharding.rewrite(many, F.lit(3), root, 4)
+    changed, moves, _ = sharding.rewrite(one, F.lit(3), root, 4)
+    rows = {(r.doc_id, r.shard) for r in spark.read.parquet(root).where(F.col("shard").isin(changed)).collect()}
+    assert rows == {(1, moves.first()["_folium_new"])} and changed
+
+
+def test_files_agree_with_the_plan(spark, tmp_path):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("y"), (F.col("id") % 70).cast("int")).alias("text"), F.lit("clash").alias("shard"), F.lit(1).alias("slot"))
+    old = F.when(F.col("doc_id") % 3 == 0, F.lit(0)).otherwise((F.col("doc_id") % 8).cast("int"))
+    told = sorted(map(tuple, sharding.reshard(df, old, 8).collect()))
+    assert sorted(map(tuple, sharding.carry_out(df, old, 8).collect())) == told and len(told) == 3000
+    root = str(tmp_path / "files")
+    changed, *_ = sharding.rewrite(df, old, root, 8, folder="at")
+    files = {(r.doc_id, r.at) for r in spark.read.parquet(root).collect()}
+    assert files == {(t[0], t[4]) for t in told if t[4] in changed} and set(range(8)) - set(changed) == {t[4] for t in told} - set(changed)
+
+
+def test_equal_texts_stay_together(spark, sf):
+    rows = sharding.op5_min_cost_flow_resharding(spark, sf).collect()
+    where, size = defaultdict(set), defaultdict(int)
+    for r in rows:
+        where[r.text_crc32, r.size].add(r.shard)
+        size[r.text_crc32, r.size] += r.size
+    limit = sum(size.values()) // 256
+    copies = {k for k in where if size[k] > k[1]}
+    assert copies and all(len(where[k]) == 1 for k in copies if size[k] <= limit)
+
+
+def test_a_hot_text_is_split(spark):
+    df = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("the same text")).otherwise(F.concat(F.lit("text no "), "id")).alias("text"))
+    sizes = defaultdict(int)
+    for r in sharding.reshard(df, F.crc32(F.col("text").cast("binary")) % 8, 8).collect():
+        sizes[r.shard] += r.size
+    assert max(sizes.values()) - min(sizes.values()) < 0.01 * sum(sizes.values()) / 8
