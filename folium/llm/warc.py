@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import pathlib
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from urllib.parse import quote
@@ -58,44 +60,74 @@ class Damaged(ValueError):
     """An archive that is cut short, framed wrongly or fails a digest."""
 
 
-def read(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+def read(chunks: Iterable[bytes], at_once: int = 1 << 16) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (lower-case names) and block of each record, in order.
 
-    Holds one record at a time. Every member has to hold exactly one record:
-    header, Content-Length bytes of block, two line ends.
+    Decompresses ``at_once`` bytes at a time and holds one record. Every member
+    has to hold exactly one record: header, Content-Length bytes of block, two
+    line ends. Lengths and digests are checked as bytes come in, so a member
+    that is longer than its record says is given up at its first byte too many.
     """
-    z, held = None, bytearray()
+    z, one = None, None
     for chunk in chunks:
         while chunk:
             if z is None:
-                z, held = zlib.decompressobj(31), bytearray()
+                z, one = zlib.decompressobj(31), _Record()
             try:
-                held += z.decompress(chunk)
+                one.add(z.decompress(chunk, at_once))
             except zlib.error as e:
                 raise Damaged(str(e)) from e
-            chunk = z.unused_data if z.eof else b""
+            chunk = z.unused_data if z.eof else z.unconsumed_tail
             if z.eof:
+                yield one.done()
                 z = None
-                yield _framed(held)
+    # What a bounded call has kept back comes out once the input has ended.
+    while z is not None and not z.eof and (more := z.decompress(z.unconsumed_tail, at_once)):
+        one.add(more)
     if z is not None:
-        raise Damaged("the last member is cut short")
-
-
-def _framed(held: bytearray) -> tuple[dict[str, str], bytes]:
-    cut = held.find(END)
-    if cut < 0 or not held.startswith(b"WARC/"):
-        raise Damaged("no WARC header")
-    head = {}
-    for line in held[:cut].decode().split("\r\n")[1:]:
-        name, _, value = line.partition(":")
-        head[name.strip().lower()] = value.strip()
-    size = int(head.get("content-length", -1))
-    block = bytes(held[cut + 4 : cut + 4 + size])
-    if size < 0 or len(block) < size or held[cut + 4 + size :] != END:
-        raise Damaged("the member isn't one record of the length stated")
-    if (want := head.get("warc-block-digest")) and want != f"sha1:{digest(block)}":
-        raise Damaged("block digest")
-    return head, block
+        if not z.eof:
+            raise Damaged("the last member is cut short")
+        yield one.done()
+
+
+class _Record:
+    """A record while its bytes come in: header, then block, then its end."""
+
+    def __init__(self):
+        self.held, self.head, self.size, self.sum = bytearray(), None, 0, hashlib.sha1()
+
+    def add(self, data: bytes) -> None:
+        self.held += data
+        if self.head is None:
+            if not b"WARC/".startswith(self.held[:5]):
+                raise Damaged("no WARC header")
+            cut = self.held.find(END)
+            if cut < 0:
+                return
+            self.head = _header(self.held[:cut])
+            length = self.head.get("content-length", "")
+            if not length.isdecimal():
+                raise Damaged("no length")
+            self.size = int(length)
+            del self.held[: cut + 4]
+            data = self.held
+        before = len(self.held) - len(data)
+        self.sum.update(memoryview(data)[: max(0, self.size - before)])
+        if len(self.held) > self.size and not END.startswith(self.held[self.size :]):
+            raise Damaged("the member is longer than its record")
+
+    def done(self) -> tuple[dict[str, str], bytes]:
+        if self.head is None or self.held[self.size :] != END:
+            raise Damaged("the member isn't one record of the length stated")
+        want = self.head.get("warc-block-digest")
+        if want and want != f"sha1:{base64.b32encode(self.sum.digest()).decode()}":
+            raise Damaged("block digest")
+        return self.head, bytes(self.held[: self.size])
+
+
+def _header(raw: bytes) -> dict[str, str]:
+    pairs = (line.partition(":") for line in raw.decode().split("\r\n")[1:])
+    return {name.strip().lower(): value.strip() for name, _, value in pairs}
 
 
 def payload_of(head: dict[str, str], block: bytes) -> tuple[int, str]:
@@ -117,8 +149,11 @@ def write_archives(pages: DataFrame, least: int = 0, archive_bytes: int = 8 << 2
     """
     body = text_or_empty(html).cast("binary")
     rows = pages.select(F.col(key).alias("k"), F.col(url).cast("string").alias("u") if url in pages.columns else F.lit(None).cast("string").alias("u"), body.alias("b"), F.unhex(F.sha1(body)).alias("d"))
-    # Only payloads that come more than once are looked up; copies are counted before the shuffle.
+    scratch = scratch or Scratch(pages.sparkSession, "warc")
+    # Only payloads that come more than once are looked up; copies are counted before the shuffle. The counts are
+    # written before they are joined: so the pages of a hot payload can be split among tasks.
     first = rows.where(F.octet_length("b") >= least).groupBy("d").agg(F.max("k").alias("to"), F.count("*").alias("n")).where("n > 1").select("d", "to")
+    first = scratch.keep(first, "repeated")
     marked = rows.join(first, "d", "left").select("k", "u", "b", "to", F.expr("to is not null and not (k <=> to)").alias("again"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +173,7 @@ def write_archives(pages: DataFrame, least: int = 0, archive_bytes: int = 8 << 2
             yield out()
 
     archives = marked.mapInArrow(run, schema("archive string, data binary"))
-    return (scratch or Scratch(pages.sparkSession, "warc")).keep(archives, "archives")
+    return scratch.keep(archives, "archives")
 
 
 def read_archives(archives: DataFrame, data: str = "data", key_type: str = "long") -> DataFrame:
@@ -160,13 +195,20 @@ def read_archives(archives: DataFrame, data: str = "data", key_type: str = "long
 
 
 def export(archives: DataFrame, folder: str) -> int:
-    """Put archives as .warc.gz files into a folder that the driver can write, one at a time."""
-    import pathlib
+    """Put archives as .warc.gz files into a folder that all executors can write, such as a mounted one; returns their number.
 
-    n = 0
-    for n, row in enumerate(archives.toLocalIterator(), 1):
-        pathlib.Path(folder, row["archive"]).write_bytes(row["data"])
-    return n
+    Each task writes its own archives, under other names until they are whole, so a task that runs again does no harm.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1)):
+                part = pathlib.Path(folder, f".{name}.{uuid.uuid4().hex}")
+                part.write_bytes(data.as_buffer())
+                part.replace(pathlib.Path(folder, name))
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    return archives.select("archive", "data").mapInArrow(run, schema("n long")).agg(F.sum("n")).first()[0] or 0
 
 
 def op8_sequential_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
