@@ -218,8 +218,12 @@ def contaminated(
     """One row per row of ``docs`` and item in it: key, item_id, edits, item_words, similarity, first_word, words.
 
     Null or empty texts and items match nothing; rows and items that repeat
-    match each for itself. Empty tables give no rows.
+    match each for itself. Empty tables give no rows. Of runs of words that are
+    equally near an item the first one counts. The key keeps its name, so it
+    can't be called like one of the results.
     """
+    if key in ("item_id", "edits", "item_words", "similarity", "first_word", "words"):
+        raise ValueError(f"a key can't be called {key}")
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType.simpleString()
     spec = f"k {kind}, item {item_kind}, edits long, item_words long, first_word long, words long"
     rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t"))
