@@ -103,13 +103,24 @@ class Mixture:
         return [(lang, min(1.0, max(0.0, x))) for lang, x in got]
 
 
-def train(docs: DataFrame, bits: int = 15, max_langs: int = 512, text: str = "text", lang: str = "lang") -> Mixture:
+def bits_for(langs: int, bits: int = 15, numbers: int = 1 << 24) -> int:
+    """How many bits a bucket's number may have so that languages x buckets are at most ``numbers``; 8 at least."""
+    return max(8, min(bits, (numbers // max(1, langs)).bit_length() - 1))
+
+
+def train(docs: DataFrame, bits: int = 15, numbers: int = 1 << 24, text: str = "text", lang: str = "lang") -> Mixture:
     """The model of all given documents that have a language.
 
     Null languages and null texts teach nothing; with no teaching rows the
-    model knows no language. More than ``max_langs`` languages are refused, as
-    the model would no longer be bounded.
+    model knows no language. The model has ``numbers`` numbers at most: from 513
+    languages on there are fewer buckets, and over ``numbers`` / 256 languages
+    are refused.
     """
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    many = rows.select("lang").distinct().count()
+    bits = bits_for(many, bits, numbers)
+    if many << bits > numbers:
+        raise ValueError(f"{many} languages make a model of more than {numbers} numbers")
     n, step = 1 << bits, (1 << bits) // BLOCKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,14 +149,11 @@ def train(docs: DataFrame, bits: int = 15, max_langs: int = 512, text: str = "te
         return part.iloc[:1].assign(task=part["task"].iloc[0] // 512, counts=[total.tobytes()])
 
     spec = schema("lang string, block int, task long, counts binary")
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     sums = rows.mapInArrow(run, spec)
     sums = sums.groupBy("lang", "block", F.expr("task div 512").alias("g")).applyInPandas(add, spec)
     sums = sums.groupBy("lang", "block").applyInPandas(add, spec)
     counts: dict[str, np.ndarray] = {}
     for r in sums.toLocalIterator():
-        if r["lang"] not in counts and len(counts) >= max_langs:
-            raise ValueError(f"more than {max_langs} languages")
         counts.setdefault(r["lang"], np.zeros(n))[r["block"] * step : (r["block"] + 1) * step] = np.frombuffer(r["counts"], np.int64)
     langs = sorted(k for k, v in counts.items() if v.sum() and k != UNKNOWN)
     if not langs:
@@ -155,7 +163,7 @@ def train(docs: DataFrame, bits: int = 15, max_langs: int = 512, text: str = "te
 
 
 def _inferred(docs: DataFrame, model: Mixture, text: str):
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # max_langs x 2 ** bits numbers at most
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # a bounded number of numbers: see train
     name = f"mixture {uuid.uuid4().hex}"
 
     @F.pandas_udf(schema("langs array<struct<lang string, share double>>, lang_pred string, score double"))
@@ -180,7 +188,12 @@ def identify(docs: DataFrame, model: Mixture, text: str = "text") -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Mixture, text: str = "text") -> DataFrame:
-    """The documents, as they are, whose language could be told; ``und`` is rejected."""
+    """The documents, as they are, whose language could be told; ``und`` is rejected.
+
+    Where the model knows no language, all that have a letter stay.
+    """
+    if not model.langs:
+        return docs.where(F.col(text).cast("string").rlike(r"\p{L}"))
     return docs.withColumn("_folium_lang", _inferred(docs, model, text)["lang_pred"]).where(F.col("_folium_lang") != UNKNOWN).drop("_folium_lang")
 
 
