@@ -14,7 +14,7 @@ The walks diverge with the square of the edits, so an item of more than
 ``piece`` words is looked up by pieces of equal size: of m pieces, one has at
 most an m-th of the item's edits. Whole items are verified.
 
-Items are taken in blocks of a bounded number of pieces, each against all documents.
+Items are taken in blocks of a bounded number of pieces, each against all documents; a block is one scan of them.
 """
 
 from __future__ import annotations
@@ -212,7 +212,7 @@ def _blocks(items: DataFrame, size: int, piece: int) -> Iterator[list[tuple[obje
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, repetitions: int = 24, samples: int = 3, block: int = 4096, piece: int = 30,
+    docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, repetitions: int = 24, samples: int = 3, block: int = 16384, piece: int = 30,
     key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """One row per row of ``docs`` and item in it: key, item_id, edits, item_words, similarity, first_word, words.
