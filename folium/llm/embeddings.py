@@ -2,9 +2,11 @@
 
 Equal vectors of a label are one class; what follows works on classes. Classes
 of a label go into blocks of bounded size, near ones together: cells are the
-nearest of the first k pivots, k by the label's size, and a hash cuts large
-cells. Two blocks meet in a tile unless their centres are so far apart that no
-pair can reach the threshold (angles obey the triangle inequality). In a tile
+nearest of the first k pivots, k by the label's size, and large cells are cut
+by the nearest of the last m pivots, m by the cell's size; only what is too
+large even then is cut by a hash. A block that holds clusters is cut into them. Two cells, and then two blocks, are compared
+unless their centres are so far apart that no pair can reach the threshold
+(angles obey the triangle inequality); blocks that remain meet in a tile. There
 both sides are quantised to int8; with x = s q + e for a unit vector,
 
     |x.y - s t (q.r)| <= |e| + (1 + |e|) |f|,
@@ -58,15 +60,47 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.93, block: int = 1024, pivots: int = 256, key: str = "vec_id", vector: str = "embedding", label: str = "label", scratch: Scratch | None = None) -> DataFrame:
+def clusters(u: np.ndarray, tight: float, few: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Rows of unit vectors, centre and widest angle to it of parts that are far apart.
+
+    A part that is wider than ``tight`` is halved between two of its outermost
+    vectors, as long as no half has fewer rows than ``few`` and a half gets much
+    narrower; where there are no clusters all rows stay one part.
+    """
+
+    def shape(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        mean = u[at].mean(0)
+        size = np.linalg.norm(mean)
+        centre = mean / size if size > 1e-6 else u[at[0]]
+        return at, centre, float(np.arccos(np.clip(u[at] @ centre, -1, 1)).max()) + 1e-6
+
+    out, todo = [], [shape(np.arange(len(u)))]
+    while todo:
+        at, centre, wide = part = todo.pop()
+        halves = []
+        if wide > tight and len(at) >= 2 * few:
+            one = u[at[np.argmin(u[at] @ centre)]]
+            two = u[at[np.argmin(u[at] @ one)]]
+            side = u[at] @ one >= u[at] @ two
+            if min(side.sum(), (~side).sum()) >= few:
+                halves = [shape(at[side]), shape(at[~side])]
+        if halves and min(h[2] for h in halves) < 0.75 * wide:
+            todo += halves
+        else:
+            out.append(part)
+    return out
+
+
+def near_vectors(vectors: DataFrame, least: float = 0.93, block: int = 1024, pivots: int = 4096, key: str = "vec_id", vector: str = "embedding", label: str = "label", scratch: Scratch | None = None) -> DataFrame:
     """One row per row: key, n_links, component_id, kept.
 
     Rows with a null label, and vectors that are null, empty, zero or hold a null
     or a non-finite component, link with nothing; vectors of unlike lengths
     neither. Rows that repeat count as vectors of their own. A component's id is
     its smallest key; rows whose key is null are kept only if that is null too.
-    ``pivots`` bounds the sample that cells are taken from; it changes what is
-    skipped, never what is linked.
+    ``pivots`` bounds the sample that cells are taken from, and the cells of a
+    label; it changes what is skipped, never what is linked. A cosine is compared
+    with ``least`` in double precision, so one that is equal to it links.
     """
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark, "embeddings")
@@ -79,47 +113,89 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, block: int = 1024, piv
 
     first = [(r["dim"], r["x"]) for r in classes.orderBy(F.xxhash64("h")).select("dim", "x").limit(pivots).collect()]
     held = {d: unit(np.array([x for dim, x in first if dim == d])) for d in {d for d, _ in first}}
-    sizes = classes.groupBy("l", "dim").agg(F.least(F.lit(pivots), F.ceil(F.count("*") / block)).cast("int").alias("cells"))
+    sizes = scratch.keep(classes.groupBy("l", "dim").agg(F.least(F.lit(pivots), F.ceil(F.count("*") / block)).cast("int").alias("cells")), "sizes")
+
+    def nearest(dim: int, u: np.ndarray, many: np.ndarray, last: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """For each row of u the nearest of as many pivots from the first on, or from the ``last`` on backwards: its number, and the angle to it."""
+        number, angle = np.zeros(len(u), np.int32), np.full(len(u), np.pi)
+        if dim in held:
+            many = np.clip(many, 1, len(held[dim]))
+            some = (held[dim][::-1] if last else held[dim])[: many.max()]
+            for k in range(0, len(u), 1024):
+                dot = u[k : k + 1024] @ some.T
+                dot[np.arange(len(some)) >= many[k : k + 1024, None]] = -2
+                number[k : k + 1024], angle[k : k + 1024] = dot.argmax(1), np.arccos(np.clip(dot.max(1), -1, 1)) + 1e-6
+        return number, angle
 
     def to_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             c, l, dim, cells, x = b.columns
             flat, d, n = x.flatten().to_numpy(zero_copy_only=False), dim.to_numpy(), cells.to_numpy()
             start = np.concatenate(([0], np.cumsum(d)))
-            cell = np.zeros(len(d), np.int32)
+            cell, far = np.zeros(len(d), np.int32), np.zeros(len(d))
             vecs: list = [b""] * len(d)
             for k in np.unique(d):
                 at = np.flatnonzero(d == k)
                 u = unit(flat[start[at][:, None] + np.arange(k)])
-                dot = u @ held[k].T if k in held else np.zeros((len(at), 1))
-                dot[np.arange(dot.shape[1]) >= np.maximum(1, n[at])[:, None]] = -2
-                cell[at] = dot.argmax(1)
+                cell[at], far[at] = nearest(k, u, n[at])
                 for i, v in zip(at, u):
                     vecs[i] = v.tobytes()
-            yield pa.RecordBatch.from_arrays([c, l, dim, pa.array(cell), pa.array(vecs, pa.binary())], ["c", "l", "dim", "cell", "u"])
+            yield pa.RecordBatch.from_arrays([c, l, dim, pa.array(cell), pa.array(far), pa.array(vecs, pa.binary())], ["c", "l", "dim", "cell", "far", "u"])
 
-    celled = classes.join(sizes, ["l", "dim"]).select("c", "l", "dim", "cells", "x").mapInArrow(to_cell, schema("c long, l string, dim int, cell int, u binary"))
-    celled = scratch.keep(celled.join(classes.select("c", "n"), "c"), "cells")
-    cuts = celled.groupBy("l", "dim", "cell").agg(F.ceil(F.count("*") / block).alias("cuts"))
-    blocks = celled.join(cuts, ["l", "dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("c"), F.col("cuts")))
+    def to_sub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c, l, dim, cell, u, cuts = b.columns
+            d, m, sub = dim.to_numpy(), cuts.to_numpy(), np.zeros(b.num_rows, np.int32)
+            for k in np.unique(d[m > 1]):
+                at = np.flatnonzero((d == k) & (m > 1))
+                sub[at] = nearest(k, np.frombuffer(b"".join(u.take(pa.array(at)).to_pylist()), np.float64).reshape(len(at), -1), m[at], last=True)[0]
+            yield pa.RecordBatch.from_arrays([c, l, dim, cell, pa.array(sub), u], ["c", "l", "dim", "cell", "sub", "u"])
+
+    # What is counted by cell is written before it is joined: so a hot cell's rows can be split among tasks.
+    celled = classes.join(sizes, ["l", "dim"]).select("c", "l", "dim", "cells", "x").mapInArrow(to_cell, schema("c long, l string, dim int, cell int, far double, u binary"))
+    celled = scratch.keep(celled, "cells")
+    shape = scratch.keep(celled.groupBy("l", "dim", "cell").agg(F.least(F.lit(pivots), F.ceil(F.count("*") / block)).cast("int").alias("cuts"), F.max("far").alias("wide")), "shape")
+    placed = celled.join(shape, ["l", "dim", "cell"]).select("c", "l", "dim", "cell", "u", "cuts").mapInArrow(to_sub, schema("c long, l string, dim int, cell int, sub int, u binary"))
+    placed = scratch.keep(placed.join(classes.select("c", "n"), "c"), "placed")
+    cuts = scratch.keep(placed.groupBy("l", "dim", "cell", "sub").agg(F.ceil(F.count("*") / block).alias("cuts")), "cuts")
+    blocks = placed.join(cuts, ["l", "dim", "cell", "sub"]).withColumn("part", F.pmod(F.xxhash64("c"), F.col("cuts")))
+
+    widest = float(np.arccos(least)) + 1e-6
 
     def to_block(part: pd.DataFrame) -> pd.DataFrame:
-        u = np.frombuffer(b"".join(part["u"]), np.float64).reshape(len(part), -1)
-        mean = u.mean(0)
-        size = np.linalg.norm(mean)
-        centre = mean / size if size > 1e-6 else u[0]
-        wide = float(np.arccos(np.clip(u @ centre, -1, 1)).max()) + 1e-6
-        row = part.iloc[0]
-        at = f"{row['cell']}-{row['part']}"
-        return pd.DataFrame([(row["l"], row["dim"], at, centre.tolist(), wide, part["c"].to_numpy(np.int64).tobytes(), part["n"].to_numpy(np.int64).tobytes(), u.tobytes())], columns=["l", "dim", "at", "centre", "wide", "c", "n", "u"])
-
-    packed = scratch.keep(blocks.groupBy("l", "dim", "cell", "part").applyInPandas(to_block, schema("l string, dim int, at string, centre array<double>, wide double, c binary, n binary, u binary")), "blocks")
-    scratch.drop("cells")
-    meta = packed.select("l", "dim", "at", "centre", "wide")
+        u, row, rows = np.frombuffer(b"".join(part["u"]), np.float64).reshape(len(part), -1), part.iloc[0], []
+        c, n = part["c"].to_numpy(np.int64), part["n"].to_numpy(np.int64)
+        for k, (at, centre, wide) in enumerate(clusters(u, widest, max(1, block // 64))):
+            name = f"{row['cell']}-{row['sub']}-{row['part']}-{k}"
+            rows.append((row["l"], row["dim"], row["cell"], name, centre.tolist(), wide, c[at].tobytes(), n[at].tobytes(), u[at].tobytes()))
+        return pd.DataFrame(rows, columns=["l", "dim", "cell", "at", "centre", "wide", "c", "n", "u"])
+
+    spec = schema("l string, dim int, cell int, at string, centre array<double>, wide double, c binary, n binary, u binary")
+    packed = scratch.keep(blocks.groupBy("l", "dim", "cell", "sub", "part").applyInPandas(to_block, spec), "blocks")
+    scratch.drop("cells", "placed", "cuts", "sizes")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            l, dim, cell, wide, cell2, wide2 = b.columns
+            d, i, j = dim.to_numpy(), cell.to_numpy(), cell2.to_numpy()
+            angle = np.zeros(b.num_rows)
+            for k in np.unique(d):
+                if k in held:
+                    at = np.flatnonzero(d == k)
+                    angle[at] = np.arccos(np.clip((held[k][i[at]] * held[k][j[at]]).sum(1), -1, 1))
+            good = pa.array(angle - wide.to_numpy() - wide2.to_numpy() <= widest)
+            yield pa.RecordBatch.from_arrays([x.filter(good) for x in (l, dim, cell, cell2)], ["l", "dim", "cell", "cell2"])
+
+    # Cells are compared first, as many as pivots at most a label, then blocks of cells that are near enough.
+    theirs = shape.select("l", "dim", F.col("cell").alias("cell2"), F.col("wide").alias("wide2"))
+    pairs = shape.select("l", "dim", "cell", "wide").join(theirs, ["l", "dim"]).where("cell <= cell2").select("l", "dim", "cell", "wide", "cell2", "wide2")
+    pairs = scratch.keep(pairs.mapInArrow(near, schema("l string, dim int, cell int, cell2 int")), "cell-pairs")
+    meta = packed.select("l", "dim", "cell", "at", "centre", "wide")
     dot = F.aggregate(F.zip_with("centre", "centre2", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     angle = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot)))
-    other = meta.select("l", "dim", F.col("at").alias("at2"), F.col("centre").alias("centre2"), F.col("wide").alias("wide2"))
-    tiles = meta.join(other, ["l", "dim"]).where(F.col("at") <= F.col("at2")).where(angle - F.col("wide") - F.col("wide2") <= float(np.arccos(least)) + 1e-6).select("l", "dim", "at", "at2")
+    other = meta.select("l", "dim", F.col("cell").alias("cell2"), F.col("at").alias("at2"), F.col("centre").alias("centre2"), F.col("wide").alias("wide2"))
+    tiles = meta.join(pairs, ["l", "dim", "cell"]).join(other, ["l", "dim", "cell2"]).where((F.col("cell") < F.col("cell2")) | (F.col("at") <= F.col("at2")))
+    tiles = scratch.keep(tiles.where(angle - F.col("wide") - F.col("wide2") <= widest).select("l", "dim", "at", "at2"), "tiles")
     right = packed.select("l", "dim", F.col("at").alias("at2"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("u").alias("u2"))
     loaded = tiles.join(packed.select("l", "dim", "at", "c", "n", "u"), ["l", "dim", "at"]).join(right, ["l", "dim", "at2"])
     loaded = loaded.select("dim", (F.col("at") == F.col("at2")).alias("same"), "c", "n", "u", "c2", "n2", "u2")
@@ -146,7 +222,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, block: int = 1024, piv
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(many[at].astype(np.int64)), pa.array(ids[at[roots(whole[np.ix_(at, at)])]])], ["c", "links", "root"])
 
     found = scratch.keep(loaded.mapInArrow(tile, schema("c long, links long, root long")), "found")
-    scratch.drop("blocks")
+    scratch.drop("blocks", "tiles", "cell-pairs", "shape")
     counts = found.groupBy("c").agg(F.sum("links").alias("links"))
     groups = scratch.keep(connected(found.select(F.col("c").alias("a"), F.col("root").alias("b")), scratch), "groups")
     named = groups.withColumnRenamed("node", "c").join(classes.select("c", "k"), "c")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from folium.llm import embeddings
+from folium.llm.common import Scratch
 
 
 def brute(rows, least=0.93):
@@ -39,7 +40,7 @@ def vectors(seed=0):
     return [(k, x, c) for k, (x, c) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("block, pivots", [(1024, 256), (7, 5), (16, 1)])
+@pytest.mark.parametrize("block, pivots", [(1024, 4096), (7, 5), (16, 1), (3, 100)])
 def test_brute_force(spark, block, pivots):
     rows = vectors()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
@@ -47,6 +48,22 @@ def test_brute_force(spark, block, pivots):
     assert got == brute(rows)
 
 
+def test_a_hot_label_is_pruned(spark):
+    """Most vectors have one label, in clusters that are far apart: tiles grow with the vectors, not with their square."""
+    rng, counted = np.random.default_rng(2), []
+    for clusters in (20, 40):
+        centres = rng.normal(size=(clusters, 24))
+        rows = [(k, (centres[k % clusters] + rng.normal(size=24) * 0.01).tolist(), 0) for k in range(clusters * 16)] + [(100_000 + k, rng.normal(size=24).tolist(), 1) for k in range(50)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+        scratch = Scratch(spark, "counted")
+        scratch.drop = lambda *names: None
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(df, block=16, scratch=scratch).collect()}
+        assert all(got[k] == (15, k % clusters) for k in range(clusters * 16)) and all(got[100_000 + k] == (0, 100_000 + k) for k in range(50))
+        counted.append(spark.read.parquet(f"{scratch.root}/tiles").count())
+        scratch.clear()
+    assert counted[1] < 3.2 * counted[0]
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(5)
     x, y = embeddings.unit(rng.normal(size=(200, 64))), embeddings.unit(rng.normal(size=(100, 64)))
