@@ -452,10 +452,11 @@ def graph_longest_chain(spark, sf_dir):
 
 @_add()
 def graph_dag_insert(spark, sf_dir):
-    """Edges between words that follow each other in a document; they form cycles, and the order decides which stay."""
-    words = S.table(spark, sf_dir, "documents").select("source", "doc_id", F.split(F.lower("text"), "[^a-z]+").alias("w"))
-    pairs = words.select("source", "doc_id", F.posexplode(F.arrays_zip(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))).alias("c"), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))).alias("p"))).alias("i", "x"))
-    return graph.insert_acyclic(pairs.select((F.col("doc_id") * (1 << 31) + F.col("i")).alias("pos"), "source", F.col("x.c").alias("concept"), F.col("x.p").alias("prerequisite")), "source")
+    """Edges between users whose events of a type follow each other; they form cycles, and the order decides which stay.
+
+    No SQL: whether an edge stays depends on all that were kept before it.
+    """
+    return graph.insert_acyclic(S.event_edges(spark, sf_dir), "event_type")
 
 
 # Answers of models

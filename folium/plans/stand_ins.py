@@ -111,3 +111,11 @@ def talk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("last"))
     return turns.join(before, ["conv_id", "turn"]).select(F.format_string("c%dt%d", "conv_id", "turn").alias("concept"), F.format_string("c%dt%d", "conv_id", "last").alias("prerequisite"))
+
+
+def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pos, event_type, concept, prerequisite: the user of each event needs the user of the one before it of that type."""
+    placed = graph.ranks(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id"), "event_id", "n", ("event_type",))
+    before = placed.select("event_type", (F.col("n") + 1).alias("n"), F.col("user_id").alias("last"))
+    both = placed.join(before, ["event_type", "n"])
+    return both.select(F.col("event_id").alias("pos"), "event_type", F.format_string("user %d", "user_id").alias("concept"), F.format_string("user %d", "last").alias("prerequisite"))

@@ -1,7 +1,6 @@
 """The concept graph."""
 
 import random
-import re
 
 import pytest
 
@@ -60,17 +59,16 @@ def test_insertion_is_greedy(spark, nodes, edges):
     assert reach == want
 
 
-def test_insertion_of_whole_texts(spark, tmp_path):
-    rng = random.Random(6)
-    vocab = ["".join(rng.choices("abcdefgh", k=3)) for _ in range(150)]
-    docs = [(d, f"s{d % 2}", "\n".join(" ".join(rng.choices(vocab, k=rng.randrange(1, 60))).title() for _ in range(3))) for d in range(12)] + [(12, "s0", None), (13, "s1", "")]
-    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r.source, r.concept, r.prerequisite) for r in catalogue.QUERIES["graph_dag_insert"](spark, str(tmp_path)).collect()}
-    want = set()
-    for source in ("s0", "s1"):
-        words = [[w for w in re.split("[^a-z]+", (t or "").lower()) if w] for _, s, t in docs if s == source]
-        want |= {(source, c, p) for c, p in greedy([e for w in words for e in zip(w, w[1:])])}
-    assert got == want
+def test_insertion_query(spark, sf):
+    """All events, against insertion one by one."""
+    events, last, pairs = spark.read.parquet(f"{sf}/events.parquet").orderBy("event_id").collect(), {}, {}
+    for e in events:
+        if e.event_type in last:
+            pairs.setdefault(e.event_type, []).append((f"user {e.user_id}", f"user {last[e.event_type]}"))
+        last[e.event_type] = e.user_id
+    got = {(r.event_type, r.concept, r.prerequisite) for r in catalogue.QUERIES["graph_dag_insert"](spark, sf).collect()}
+    want = {(kind, *edge) for kind, some in pairs.items() for edge in greedy(some)}
+    assert got == want and len(want) < sum(len(set(p)) for p in pairs.values())
 
 
 def test_ranks(spark):
