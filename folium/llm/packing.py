@@ -57,7 +57,7 @@ class WordIds:
     white space.
     """
 
-    def __init__(self, path: str, cache_entries: int = 500_000):
+    def __init__(self, path: str, cache_entries: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -95,7 +95,7 @@ class WordIds:
             self.cache.clear()
         cache = self.cache
         unseen = list(set(chain.from_iterable(cut)).difference(cache))
-        for some in grouped(unseen, 1 << 16):
+        for some in grouped(unseen, 1 << 14):
             cache.update(self._learn(some))
         return [b"".join(map(cache.__getitem__, words)) for words in cut]
 
