@@ -17,9 +17,10 @@ What repeats is a string of ``width`` bytes that starts at two places or more.
    suffix array is made in two stages: suffixes smaller than their successors
    are sorted directly, the rest are induced by scans over the buckets of their
    first symbols; then common prefixes of neighbours say which windows repeat.
-   An anchor with more different segments than a shard may hold is counted by
-   windows instead: hashes of 16 bytes, of which each task resolves those that
-   it sees twice and passes one on.
+   An anchor with more different segments than a shard may hold is narrowed
+   first: its windows are taken by their distance from the anchor, and only
+   pieces with the same core, the bytes that all windows of a block of
+   distances hold, go to one shard.
 4. Covered ranges are united per distinct text, and cut out.
 """
 
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,6 +42,7 @@ from folium.llm.common import Scratch, held, schema, table, text_or_empty
 WIDTH, GRAM, BLOCK = 400, 32, 28
 CHUNK = 1 << 21  # window starts looked at together; a place in a chunk has to fit 24 bits
 SEEN = 1 << 17  # digests of texts that a task remembers
+BLOCK_OF_DISTANCES = 32  # from its anchor, that windows are taken together by where an anchor is frequent
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -195,7 +198,7 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-def covered_ranges(docs: DataFrame, width: int = WIDTH, shard_bytes: int = 1 << 20, most: int = 4096, text: str = "text", scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+def covered_ranges(docs: DataFrame, width: int = WIDTH, shard_bytes: int = 1 << 20, most: int = 1024, text: str = "text", scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """Tables (h, t) of the distinct texts that may hold repeats, and (h, ranges) of what is covered; h: SHA-256 of the text."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "suffixes")
@@ -262,7 +265,12 @@ def covered_ranges(docs: DataFrame, width: int = WIDTH, shard_bytes: int = 1 <<
 
     fetched = texts.join(wanted, "h").select("h", "t", "w").mapInArrow(fetch, schema("h binary, id long, gram long, first long, times long, kinds long, bytes binary"))
     fetched = scratch.keep(fetched, "fetched")
-    total = fetched.where(F.col("kinds") <= most).agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    few = fetched.where(F.col("kinds") <= most).select("h", "first", "times", "bytes", F.col("gram").alias("key"))
+    many = fetched.where(F.col("kinds") > most)
+    if not many.isEmpty():
+        more, pieces = _by_cores(many, width, most, scratch)
+        whole_ones, few = whole_ones.unionByName(more), few.unionByName(pieces)
+    total = few.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
 
     def by_suffixes(part: pd.DataFrame) -> pd.DataFrame:
@@ -273,80 +281,81 @@ def covered_ranges(docs: DataFrame, width: int = WIDTH, shard_bytes: int = 1 <<
                 rows += [(part["h"].iloc[k], at + a, at + b + width - 1) for a, b in _runs(flags)]
         return pd.DataFrame(rows, columns=["h", "a", "b"])
 
-    span = schema("h binary, a long, b long")
-    few = fetched.where(F.col("kinds") <= most).withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards)))
-    from_suffixes = few.groupBy("shard").applyInPandas(by_suffixes, span)
+    dealt = few.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    from_suffixes = dealt.groupBy("shard").applyInPandas(by_suffixes, schema("h binary, a long, b long"))
+    cover = scratch.keep(whole_ones.unionByName(from_suffixes), "cover")
+    scratch.drop("fetched", "whole", "contested", "cores")
+    return texts, cover.groupBy("h").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))  # as many as a text has segments
 
-    many = fetched.where(F.col("kinds") > most)
-    weight = many.agg(F.sum(F.octet_length("bytes") - (width - 1))).first()[0] or 0
-    from_windows = _by_windows(many, width, max(1, -(-weight // (1 << 20)))) if weight else None
 
-    cover = whole_ones.unionByName(from_suffixes)
-    cover = cover.unionByName(from_windows) if from_windows is not None else cover
-    cover = scratch.keep(cover, "cover")
-    scratch.drop("fetched", "whole", "contested")
-    return texts, cover.groupBy("h").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))  # as many as a text has segments
+def _anchor(data: np.ndarray, width: int) -> int:
+    """Where the anchor of a segment's windows stands in its bytes."""
+    return int(np.argmin(gram_hashes(data[:width]) & ~np.uint64(0xFFFFFF)))
 
 
-def _by_windows(many: DataFrame, width: int, buckets: int) -> DataFrame:
-    """Repeated windows of segments whose anchor is too frequent for one shard: (h, a, b)."""
+def _pieces(data: bytes, ranges: list[tuple[int, int]], size: int, width: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """A segment's windows whose distance from the anchor lies in one of the ranges, by blocks of ``size`` distances: first and last window, anchor, hashes of core and piece, range of each."""
+    anchor = _anchor(np.frombuffer(data, np.uint8), width)
+    for k, (low, high) in enumerate(ranges):
+        low, high = max(low, anchor - (len(data) - width)), min(high, anchor)
+        for block in range(low // size, high // size + 1) if low <= high else ():
+            near = block * size
+            a, b = anchor - min(high, near + size - 1), anchor - max(low, near)
+            core = data[anchor - near : anchor - near - size + 1 + width]
+            yield a, b, anchor, xxhash.xxh3_64_intdigest(core, near << 8 | size), xxhash.xxh3_64_intdigest(data[a : b + width]), k
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for begin in range(0, b.num_rows, 2048):
-                part = b.slice(begin, 2048)
-                ids, times, data = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2)
-                digest, owner, place = [], [], []
-                for k, x in enumerate(data):
-                    raw = memoryview(x.as_py())
-                    n = len(raw) - width + 1
-                    digest += [xxhash.xxh3_128_digest(raw[i : i + width]) for i in range(n)]
-                    owner.append(np.full(n, k))
-                    place.append(np.arange(n))
-                h = np.frombuffer(b"".join(digest), "V16")
-                owner, place = np.concatenate(owner), np.concatenate(place)
-                _, first, back, count = np.unique(h.view([("x", "<u8"), ("y", "<u8")]), return_index=True, return_inverse=True, return_counts=True)
-                known = count[back] > 1
-                ones = times[owner] == 1
-                # kind 1: windows known to repeat; kind 0: one of each window, with its owner if that isn't settled.
-                yield from _packed(1, ids[owner], place, None, known & ones, ids[owner] % buckets)
-                pick = np.zeros(len(h), bool)
-                pick[first] = True
-                to = np.frombuffer(h.tobytes(), "<u8")[::2] % np.uint64(buckets)
-                settled = known | ~ones
-                yield from _packed(0, np.where(settled, -1, ids[owner]), place, h, pick, to.astype(np.int64))
-
-    def _packed(kind: int, owner: np.ndarray, place: np.ndarray, h: np.ndarray | None, mask: np.ndarray, to: np.ndarray) -> Iterator[pa.RecordBatch]:
-        at = np.flatnonzero(mask)
-        at = at[np.argsort(to[at], kind="stable")]
-        which, first = np.unique(to[at], return_index=True)
-        rows = [(kind, int(w), owner[s].astype("<i8").tobytes(), place[s].astype("<i4").tobytes(), b"" if h is None else h[s].tobytes()) for w, s in zip(which, np.split(at, first[1:]))]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["kind", "bucket", "owner", "place", "hash"])
-
-    spec = schema("kind int, bucket long, owner binary, place binary, hash binary")
-
-    def settle(part: pd.DataFrame) -> pd.DataFrame:
-        owner, place = np.frombuffer(b"".join(part["owner"]), "<i8"), np.frombuffer(b"".join(part["place"]), "<i4")
-        h = np.frombuffer(b"".join(part["hash"]), [("x", "<u8"), ("y", "<u8")])
-        _, back, count = np.unique(h, return_inverse=True, return_counts=True)
-        mask = (count[back] > 1) & (owner >= 0)
-        rows = [r for b in _packed(1, owner, place, None, mask, owner % buckets) for r in b.to_pylist()]
-        return pd.DataFrame(rows, columns=["kind", "bucket", "owner", "place", "hash"])
-
-    def unite(part: pd.DataFrame) -> pd.DataFrame:
-        owner, place = np.frombuffer(b"".join(part["owner"]), "<i8"), np.frombuffer(b"".join(part["place"]), "<i4")
-        order = np.lexsort((place, owner))
-        owner, place = owner[order], place[order].astype(np.int64)
-        new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (place[1:] > place[:-1] + 1)))
-        last = np.append(new[1:], len(owner)) - 1
-        return pd.DataFrame({"id": owner[new], "from": place[new], "to": place[last]})
-
-    packed = many.select("id", "times", "bytes").mapInArrow(hashes, spec)
-    packed = Scratch(many.sparkSession, "windows").keep(packed, "packed")
-    more = packed.where("kind = 0").groupBy("bucket").applyInPandas(settle, spec)
-    runs = packed.where("kind = 1").unionByName(more).groupBy("bucket").applyInPandas(unite, schema("id long, from long, to long"))
-    return runs.join(many.select("id", "h", "first"), "id").select("h", (F.col("first") + F.col("from")).alias("a"), (F.col("first") + F.col("to") + width).alias("b"))
+
+def _by_cores(many: DataFrame, width: int, most: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Segments of anchors that too many have: what is covered (h, a, b), and contested pieces (h, first, times, bytes, key).
+
+    Windows that are equal have equal distances from their anchor. All windows
+    of a block of distances hold the same bytes around it, their core: pieces of
+    different cores share none. A core that more than ``most`` different pieces
+    have is cut again, by half the distances; in a block of one distance core,
+    piece and window are the same.
+    """
+    spec = schema("id long, a int, b int, anchor int, core long, piece long, times long")
+
+    def by(size: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, times, found = [], [], []
+                for i, data, todo in zip(*(batch.column(k) for k in range(3))):
+                    wanted = todo.as_py()
+                    got = list(_pieces(data.as_py(), [(x["low"], x["high"]) for x in wanted], size, width))
+                    ids += [i.as_py()] * len(got)
+                    times += [wanted[g[5]]["times"] for g in got]
+                    found += got
+                if found:
+                    *places, core, piece, _ = zip(*found)
+                    hashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (core, piece)]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x, pa.int32()) for x in places), *hashes, pa.array(times, pa.int64())], spec.names)
+
+        return run
+
+    todo = many.select("id", F.array(F.struct(F.lit(0).alias("low"), F.lit(width - GRAM).alias("high"), "times")).alias("todo"))
+    covered, contested, size = [], [], BLOCK_OF_DISTANCES
+    while True:
+        here = f"cores/{size}"
+        found = scratch.keep(many.select("id", "bytes").join(todo, "id").select("id", "bytes", "todo").mapInArrow(by(size), spec), f"{here}/found")
+        each = scratch.keep(found.groupBy("core", "piece").agg(F.sum("times").alias("times"), F.min(F.struct("id", "a", "b", "anchor")).alias("x")), f"{here}/each")
+        again = scratch.keep(each.where("times > 1").select("core", "piece"), f"{here}/again")
+        covered.append(scratch.keep(found.where("times = 1").join(again, ["core", "piece"]).select("id", "a", "b"), f"{here}/covered"))
+        variety = scratch.keep(each.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1"), f"{here}/variety")
+        kinds = scratch.keep(each.join(variety, "core").select("core", "x.*", "times", "kinds"), f"{here}/kinds")
+        scratch.drop(*(f"{here}/{name}" for name in ("found", "each", "again", "variety")))
+        hot = kinds.where((F.col("kinds") > most) & F.lit(size > 1))
+        contested.append(kinds.where((F.col("kinds") <= most) | F.lit(size == 1)))
+        if hot.isEmpty():
+            break
+        ranges = F.struct((F.col("anchor") - F.col("b")).alias("low"), (F.col("anchor") - F.col("a")).alias("high"), "times")
+        todo = hot.groupBy("id").agg(F.collect_list(ranges).alias("todo"))  # as many as a segment has distances
+        size //= 2
+    named = many.select("id", "h", "first")
+    whole = reduce(DataFrame.unionByName, covered).join(named, "id").select("h", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b") + width).alias("b"))
+    rows = reduce(DataFrame.unionByName, contested).join(many.select("id", "h", "first", "bytes"), "id")
+    pieces = rows.select("h", (F.col("first") + F.col("a")).alias("first"), "times", F.expr(f"substring(bytes, a + 1, b - a + {width})").alias("bytes"), F.col("core").alias("key"))
+    return whole, scratch.keep(pieces, "cores/pieces")
 
 
 def cut(data: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int, int]:

@@ -35,7 +35,7 @@ def corpus(seed: int, alphabet: str) -> list[str]:
     return [*texts, texts[0], texts[25], "", "a" * 500, "ab" * 150]
 
 
-@pytest.mark.parametrize("seed, alphabet, options", [(1, "abcd", {}), (2, "aé\n漢", {}), (3, "ab", {"shard_bytes": 4096}), (4, "abcdefgh ", {"most": 1}), (5, "ab", {"most": 2})])
+@pytest.mark.parametrize("seed, alphabet, options", [(1, "abcd", {}), (2, "aé\n漢", {}), (3, "ab", {"shard_bytes": 4096}), (4, "abcdefgh ", {"most": 1}), (5, "ab", {"most": 2}), (6, "aé\n漢", {"most": 4, "shard_bytes": 4096})])
 def test_brute_force(spark, seed, alphabet, options):
     texts = corpus(seed, alphabet)
     want = brute([t.encode() for t in texts], 60)
@@ -98,6 +98,20 @@ def test_hot_copies(spark):
     assert got == dict(enumerate(want))
 
 
+def test_hot_anchor(spark):
+    """One passage in unlike surroundings, longer and shorter than a window, in more texts than a shard may hold pieces of."""
+    rng = random.Random(10)
+    some = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    long, short, edge = some(75), some(58), "".join(rng.choices("xy", k=3))
+    texts = [some(rng.randrange(70)) + rng.choice((long, short, edge[:k] + short)) + some(rng.randrange(70)) for _ in range(120) for k in (rng.randrange(4),)]
+    want = brute([t.encode() for t in texts], 60)
+    assert 20 < sum(w[0] > 0 for w in want)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (8, 1024):
+        got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.suffix_dedup(df, width=60, most=most).collect()}
+        assert got == dict(enumerate(want)), most
+
+
 def test_cut_texts(spark):
     df = spark.createDataFrame([(1, "x" + "é" * 300, 5), (2, "é" * 300 + "y", 6), (3, None, 7), (3, "short", 8)], "doc_id long, text string, t int")
     got = sorted(suffixes.without_repeats(df, width=400).collect(), key=lambda r: r.t)
