@@ -123,10 +123,13 @@ def contents_lines(spark: SparkSession, path: str, book: str) -> DataFrame:
 
 
 def chapter_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(sections, skipped): items of JSON arrays by file and place, and the files that hold none. What follows an array in its file is passed over."""
+    """(sections, skipped): items of JSON arrays by file and place, and the files that hold none, or something after it."""
     item = "array<struct<content string, endline int, startline int, title string>>"
-    read = text_files(spark, path, "*.json").withColumn("items", F.from_json("text", item))
-    good = F.col("items").isNotNull() & F.ltrim("text").startswith("[")
+    # The parser stops where a value ends. Inside an array and inside an object there has to be nothing but that value.
+    alone = F.from_json(F.concat(F.lit("["), "text", F.lit("]")), f"array<{item}>")
+    field = F.from_json(F.concat(F.lit('{"items": '), "text", F.lit("}")), f"items {item}")
+    read = text_files(spark, path, "*.json").withColumns({"items": F.get(alone, 0), "n": F.size(alone), "field": field["items"]})
+    good = F.col("items").isNotNull() & (F.col("n") == 1) & F.col("field").isNotNull() & F.ltrim("text").startswith("[")
     sections = read.where(good).select(F.col("file").alias("chapter_file"), F.posexplode("items").alias("section_index", "x"))
     blank = lambda c: F.coalesce(F.col(f"x.{c}"), F.lit("")).alias(c)
     zero = lambda c: F.coalesce(F.col(f"x.{c}"), F.lit(0)).alias(c)

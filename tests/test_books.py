@@ -111,10 +111,19 @@ def test_book_source(spark, tmp_path):
 def test_json_source(spark, tmp_path):
     (tmp_path / "a.json").write_text('[\n  {"title": "t", "startline": 1},\n  {"content": "c", "endline": 2}\n]\n')
     (tmp_path / "b.json").write_text('{"title": "t"}')
+    (tmp_path / "blank.json").write_text(" \n")
+    (tmp_path / "none.json").write_text("[]")
     found, skipped = books.chapter_json(spark, str(tmp_path))
     assert [tuple(r)[1:] for r in found.orderBy("section_index").collect()] == [(0, "t", 1, 0, ""), (1, "", 0, 2, "c")]
-    assert skipped.count() == 1
-    assert books.text_files(spark, str(tmp_path), "*.json").count() == 2
+    assert sorted(r.chapter_file.rsplit("/", 1)[1] for r in skipped.collect()) == ["b.json", "blank.json"]
+    assert books.text_files(spark, str(tmp_path), "*.json").count() == 4
+
+
+@pytest.mark.parametrize("after", [" ", "\n\n", "x", " 5", "]", "}", ", []", ", 1", ', "b": 1', "], [1", '}, {"items": []', "] x", "[]"])
+def test_nothing_follows_an_array(spark, tmp_path, after):
+    (tmp_path / "a.json").write_text('[{"title": "t", "startline": 1, "endline": 2, "content": "c"}]' + after)
+    found, skipped = books.chapter_json(spark, str(tmp_path))
+    assert (found.count(), skipped.count()) == ((1, 0) if not after.strip() else (0, 1))
 
 
 def test_folders(spark, tmp_path):
