@@ -2,10 +2,13 @@
 
 import urllib.error
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from folium.functions import answers, provider
 from folium.operators import concepts, prereqs
+from folium.operators.storage import written
 
 
 def test_answers():
@@ -92,3 +95,17 @@ def test_http_retries():
     h.set_model("other")
     sent = h.payload("s", "u", provider.Params(stream=True))
     assert (sent["model"], sent["format"], sent["stream"], sent["keep_alive"], sent["options"]["num_predict"]) == ("other", "json", True, "10m", 400)
+
+
+def test_written_tables_take_small_batches(spark):
+    """A worker's memory must not follow the texts' length times 10,000 rows."""
+    rows = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 4000).alias("t"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit, None)
+    got = [r.n for r in written(rows.mapInArrow(sizes, "n long"), "batches").collect()]
+    assert sum(got) >= 16_000_000 and max(got) < 6_000_000 and spark.conf.get(limit, None) == before
