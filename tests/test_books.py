@@ -160,3 +160,42 @@ def test_run_book(spark, tmp_path):
     assert [r.file for r in runs.with_slices(texts.select("book", "file"), cut, "left_anti").collect()] == ["03_Index.txt"]
     assert runs.run_book(outline.limit(0), totals, pages, lines).count() == 0
     assert toc.write_slices(cut, str(tmp_path / "slices")) == 2
+
+
+def test_last_lines_and_positions_of_many_keys(spark):
+    """Against a search of every line; keys of all lengths, cut out of lines, with and without a match."""
+    import random
+
+    from folium.operators.substrings import last_lines
+
+    r = random.Random(5)
+    lines = [(b, i, "".join(r.choice("abthe1") for _ in range(r.choice((0, 1, 5, 40, 200))))) for b in ("x", "y", None) for i in range(150)]
+    keys = {(b, "") for b in ("x", "none")}
+    for n in (*range(1, 20), 31, 32, 33, 63, 64, 65, 150):
+        for _ in range(6):
+            b, _, s = r.choice([x for x in lines if len(x[2]) >= n])
+            at = r.randrange(len(s) - n + 1)
+            keys |= {(b, s[at : at + n]), (b, s[at : at + n - 1] + "z"), (b, "the" + s[at : at + n])}
+    want = {(b, k): max(hits) for b, k in keys if (hits := [i for c, i, s in lines if c == b and s and k in s])}
+    table = spark.createDataFrame(lines, "book string, no long, s string")
+    got = last_lines(spark.createDataFrame(sorted(keys, key=str), "book string, s string"), table)
+    assert {(x.book, x.s): x.last for x in got.collect()} == want
+    files = [(b, f"{i:03d}.txt", k) for i, (b, k) in enumerate(sorted(keys, key=str))]
+    placed = toc.positions(spark.createDataFrame([*files, ("x", "null.txt", None)], "book string, file string, key string"), table.select("book", table.no.alias("line_no"), table.s.alias("line")))
+    found = {(x.book, x.file): x.pos for x in placed.collect()}
+    for book in ("x", "y", None, "none"):
+        mine = [(f, k) for b, f, k in files if b == book]
+        assert [found[book, f] for f, _ in mine] == toc.find_in_order([s for b, _, s in lines if b == book], [k for _, k in mine])
+    assert found["x", "null.txt"] == -1
+
+
+def test_positions_do_not_search_for_missing_keys(spark):
+    """20,000 keys that stand nowhere, over 20,000 lines: 400 million tests if each were searched for."""
+    import time
+
+    lines = spark.range(20000).selectExpr("'b' book", "cast(id as int) line_no", "concat('line ', id, ' words ', sha2(string(id), 512)) line")
+    keys = spark.range(20000).selectExpr("'b' book", "format_string('%06d.txt', id) file", "if(id = 0, 'line777words', md5(concat(id, 'missing'))) key")
+    begin = time.monotonic()
+    got = toc.positions(keys, lines).where("pos >= 0").collect()
+    assert [(x.file, x.pos) for x in got] == [("000000.txt", 777)]
+    assert time.monotonic() - begin < 60
